@@ -7,6 +7,7 @@ from loomtext.llm.decontaminate import op7_decontaminate
 from loomtext.llm.langid import op3_langid
 from loomtext.llm.pieces import op10_pieces
 from loomtext.llm.pii import op8_pii
+from loomtext.llm.repeats import op9_repeats
 from loomtext.llm.sharding import op2_sharding
 from loomtext.llm.simhash import op6_simhash
 from loomtext.llm.urls import op1_urls
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_pigeonring_simhash": op6_simhash,
     "op7_decontamination": op7_decontaminate,
     "op8_disclosure_pii": op8_pii,
+    "op9_bwt_repeats": op9_repeats,
     "op10_merge_dropout": op10_pieces,
 }
 
