@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm.common import scratch_path, small_batches, spill, table
 
-LENGTH, GRAM = 400, 48
+LENGTH, GRAM = 400, 150
 #: Bytes of a block that is transformed at once; an anchor with more is split.
 BLOCK = 1 << 20
 #: Strings of a text are anchored so many at a time.
@@ -90,26 +90,34 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tup
 
 
 def suffix_order(symbols: np.ndarray, single: np.ndarray, depth: int) -> np.ndarray:
-    """Rows in order of their first `depth` symbols or more, by doubling. single: symbols unlike any other (ends)."""
+    """Rows in order of their first `depth` symbols or more, by doubling; only rows not yet told apart are sorted again.
+
+    single: symbols unlike any other (end marks).
+    """
     n = len(symbols)
     packed, has = np.zeros(n, np.int64), np.zeros(n, bool)
     padded, ends = np.r_[symbols, np.zeros(7, symbols.dtype)], np.r_[single, np.ones(7, bool)]
     for i in range(7):
         packed = packed << 9 | np.where(has, 0, padded[i : i + n]).astype(np.int64)
         has |= ends[i : i + n]
-    order = np.argsort(packed, kind="stable")
+    order = np.argsort(packed, kind="stable")  # end marks rank by place
     key = packed[order]
     fresh = np.r_[True, (key[1:] != key[:-1]) | has[order][1:]]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(fresh) - 1
+    rank = np.empty(n, np.int64)  # a suffix's rank is the first row of those not told apart from it
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     k = 7
-    while k < depth and not fresh.all():
-        key = rank * (n + 1)
-        key[:-k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        fresh = np.r_[True, key[1:] != key[:-1]]
-        rank[order] = np.cumsum(fresh) - 1
+    while k < depth:
+        rows = np.flatnonzero(~fresh | ~np.r_[fresh[1:], True])  # rows of more than one suffix
+        if not len(rows):
+            break
+        at = order[rows]
+        key = rank[at] * n + rank[np.minimum(at + k, n - 1)]
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[rows] = at
+        apart = np.r_[True, key[1:] != key[:-1]]
+        fresh[rows] |= apart
+        rank[at] = np.maximum.accumulate(np.where(apart, rows, 0))
         k *= 2
     return order
 
@@ -140,7 +148,7 @@ def repeated_starts(parts: list[bytes], length: int = LENGTH) -> np.ndarray:
     back = place[order - 1]  # the row of the string one symbol longer: the transform's last-to-first step
     prefix = np.full(n + 1, -1, np.int16)
     owner = np.full(n + 1, -1, np.int32)
-    first, end = np.array([0]), np.array([n])
+    first, end, lone = np.array([0]), np.array([n]), np.zeros(0, np.int64)
     prefix[0] = prefix[n] = 0
     for level in range(length):
         size = end - first
@@ -153,11 +161,16 @@ def repeated_starts(parts: list[bytes], length: int = LENGTH) -> np.ndarray:
         begins = (to == 0) | (owner[before] != of) | (lead[before] != lead[to])
         owner[to] = -1
         first, end = np.sort(to[begins]), np.sort(to[ends]) + 1
+        lone = back[lone].astype(np.int64)  # intervals of one row stay so
+        lone = lone[prefix[lone + 1] < 0]
         new = (prefix[end] < 0) | ((end == n) & (level == 0))
         first, end = first[new], end[new]
-        if not len(first):
+        prefix[end] = prefix[lone + 1] = level
+        one = end - first == 1
+        lone = np.r_[lone, first[one]]
+        first, end = first[~one], end[~one]
+        if not len(first) and not len(lone):
             break
-        prefix[end] = level
     shared = prefix < 0
     out = np.zeros(n, bool)
     out[order] = shared[:-1] | shared[1:]
