@@ -243,7 +243,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hex_fingerprint(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def drop_near_copies(df: DataFrame, shingle: int = 5, radius: int = RADIUS) -> DataFrame:
+def drop_near_copies(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One document of each near-duplicate group stays: that with the smallest doc_id, then the smallest text hash.
 
     Documents with a null doc_id lose to others; of rows that repeat the kept one, one stays.
