@@ -100,23 +100,28 @@ def _around(text: Column, span: Column) -> Column:
 
 
 def disclosing_terms(marked: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(term, entity, ratio) over a table of (text, spans); a table in the shared folder."""
-    some = marked.filter(F.size("spans") > 0).select("text", F.explode("spans").alias("span"))
-    seen = some.select(F.lower("span.value").alias("entity"), F.array_distinct(_around(F.col("text"), F.col("span"))).alias("around")).distinct()
-    seen = spill(seen, "contexts")
+    """(term, entity, ratio) over a table of (key, text, spans); a table in the shared folder."""
+    some = marked.filter(F.size("spans") > 0).select("key", "text", F.explode("spans").alias("span"))
+    around = F.array_distinct(_around(F.col("text"), F.col("span"))).alias("around")
+    contexts = spill(some.select("key", F.lower("span.value").alias("entity"), around).distinct(), "contexts")
+    total = F.lit(marked.count())
+    seen = contexts.select("entity", "around").distinct()
     often = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support)
     words = seen.join(often, "entity").select("entity", "n_entity", F.explode("around").alias("term")).filter(F.length("term") >= TERM_LENGTH)
-    pairs = spill(words.groupBy("term", "entity", "n_entity").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support), "pairs")
+    pairs = words.groupBy("term", "entity", "n_entity").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
+    # A term's texts in contexts are some of its documents: where they are too many already, the corpus isn't asked.
+    least = contexts.select("key", F.explode("around").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
+    whole_ratio = F.greatest(total, F.col("n_entity") + 1) / F.col("n_entity")
+    open_pairs = pairs.join(least, "term").filter(F.col("n_least") <= F.col("n_both") * F.pow(whole_ratio, F.lit(1 - disclosure)) * 1.000001)
+    pairs = spill(open_pairs.drop("n_least"), "pairs")
     terms = pairs.select("term").distinct()
     many = terms.count()
     if not many:
         return pairs.select("term", "entity", F.lit(0.0).alias("ratio"))
-    total = marked.count()
     corpus = marked.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     held = corpus.join(F.broadcast(terms) if many <= BROADCAST_TERMS else terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    whole = F.log2(F.greatest(F.lit(total), F.col("n_entity") + 1) / F.col("n_entity"))
-    tells = F.log2(F.greatest(F.lit(total), F.col("n_entity") + 1) * F.col("n_both") / (F.greatest("n_term", "n_both") * F.col("n_entity")))
-    return spill(pairs.join(held, "term").withColumn("ratio", tells / whole).filter(F.col("ratio") >= disclosure).select("term", "entity", "ratio"), "terms")
+    tells = F.log2(whole_ratio * F.col("n_both") / F.greatest("n_term", "n_both"))
+    return spill(pairs.join(held, "term").withColumn("ratio", tells / F.log2(whole_ratio)).filter(F.col("ratio") >= disclosure).select("term", "entity", "ratio"), "terms")
 
 
 def _words(text: Column) -> Column:
