@@ -257,8 +257,9 @@ def fit(df: DataFrame, sample: int = SAMPLE_A_LABEL) -> Crf | None:
 
 
 def predict(df: DataFrame, model: Crf | None, text_col: str = "text") -> DataFrame:
-    """Every row with lang_pred and score; only the text is read for it. Map-side, no shuffle."""
+    """Every row with lang_pred and score (columns of these names are replaced); only the text is read for it. No shuffle."""
     small_batches(df.sparkSession)
+    df = df.drop("lang_pred", "score")
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text_col)
 

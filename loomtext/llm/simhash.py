@@ -251,6 +251,6 @@ def drop_near_copies(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     found = simhash_groups(df, shingle=shingle, radius=radius)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
     winners = found.groupBy("root").agg(first).select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
-    keyed = df.withColumn("_key", F.xxhash64("doc_id", "text"))
+    keyed = df.withColumn("_loomtext_key", F.xxhash64("doc_id", "text"))
     same = keyed["doc_id"].eqNullSafe(winners["_id"]) & F.xxhash64(keyed["text"]).eqNullSafe(winners["_hash"])
-    return keyed.join(winners, same, "left_semi").dropDuplicates(["_key"]).drop("_key")
+    return keyed.join(winners, same, "left_semi").dropDuplicates(["_loomtext_key"]).drop("_loomtext_key")
