@@ -38,6 +38,8 @@ VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 READ = 1 << 20
+#: Archives are rewritten by so many tasks for each, at most MOST_TASKS in all: their headers are too small to be dealt by size.
+SPREAD, MOST_TASKS = 2, 20_000
 
 HEADERS = "id long, url string, bytes long, digest string, file string, at long, size long"
 
@@ -139,8 +141,8 @@ def resolve(headers: DataFrame, least: int = MIN_REVISIT) -> DataFrame:
     )
 
 
-def rewrite(decided: DataFrame, folder: str) -> DataFrame:
-    """(file): deduplicated archives, one for each old one."""
+def rewrite(decided: DataFrame, folder: str, archives: int) -> DataFrame:
+    """(file): deduplicated archives, one for each old one; archives: how many there are."""
 
     def one(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         old = key[0].as_py()
@@ -161,7 +163,8 @@ def rewrite(decided: DataFrame, folder: str) -> DataFrame:
                 sink.write(record("revisit" if again else "response", page, head.get("WARC-Target-URI"), digest, b"" if again else bytes(payload), size, revisits.get(at)))
         yield pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
 
-    return decided.groupBy("file").applyInArrow(one, "file string")
+    dealt = decided.repartition(max(1, min(MOST_TASKS, SPREAD * archives)), "file")
+    return dealt.groupBy("file").applyInArrow(one, "file string")
 
 
 def read_archives(files: DataFrame, folder: str) -> DataFrame:
@@ -208,7 +211,8 @@ def write_warc(df: DataFrame, id_col: str, url_col: str, payload_col: str, folde
     raw = local_uri(scratch_path(spark, "responses"))
     payload = F.col(payload_col).cast("binary") if df.schema[payload_col].dataType.simpleString() != "binary" else F.col(payload_col)
     headers = Spilled(write_responses(df.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), payload), raw), "headers")
-    files = Spilled(rewrite(resolve(headers.df, least), folder), "archives").df
+    archives = headers.df.select("file").distinct().count()
+    files = Spilled(rewrite(resolve(headers.df, least), folder, archives), "archives").df
     remove(spark, raw)
     headers.drop()
     return files
