@@ -244,14 +244,18 @@ def held_out(doc_id):
 
 
 def fit(df: DataFrame, sample: int = SAMPLE_A_LABEL) -> Crf | None:
-    """Train on about `sample` rows of each label, chosen by a hash; columns text and lang. None without labels."""
+    """Train on about `sample` texts of each label, chosen by a hash; columns text and lang. None without labels.
+
+    Copies of a text count once, so that a large group of them neither fills the sample nor thins out its label.
+    """
     labelled = df.filter("text is not null and lang is not null")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()
+    counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("text").alias("texts"))
+    sizes = counted.orderBy(F.desc("n"), "lang").limit(MOST_LABELS).collect()
     if not sizes:
         return None
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], sample / r["count"])])
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], sample / max(1, r["texts"]))])
     drawn = F.pmod(F.xxhash64(F.lit("train"), "text"), F.lit(1_000_003)) / 1_000_003
-    rows = labelled.select("text", "lang").filter(drawn < F.try_element_at(share, F.col("lang")))
+    rows = labelled.select("text", "lang").filter(drawn < F.try_element_at(share, F.col("lang"))).dropDuplicates()
     rows = rows.orderBy(F.xxhash64("text"), "text", "lang").limit(4 * sample * len(sizes)).collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 

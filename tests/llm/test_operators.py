@@ -116,6 +116,14 @@ def test_language(spark, sf):
         assert 0 <= r["score"] <= 1 and (r["doc_id"] not in (4, 5, 8) or (r["lang_pred"], r["score"]) == ("und", 0))
 
 
+def test_language_sample_takes_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "train", lambda texts, langs: (texts, langs))
+    hot = next(t for t in (prose(20, s) for s in range(99)) if langid.fit(spark.createDataFrame([(t, "en")], "text string, lang string"), 1)[0])
+    data = [(hot, "en")] * 3000 + [(prose(20, i), x) for x in ("en", "de") for i in range(200, 260)]
+    texts, langs = langid.fit(spark.createDataFrame(data, "text string, lang string"), 40)
+    assert texts.count(hot) <= 1 and 20 <= Counter(langs)["en"] <= 60 and 20 <= Counter(langs)["de"] <= 60
+
+
 def test_language_switches(spark):
     r = random.Random(2)
     vocabulary = {"aa": ["".join(r.choice("abcdef") for _ in range(5)) for _ in range(60)], "zz": ["".join(r.choice("uvwxyz") for _ in range(5)) for _ in range(60)]}
