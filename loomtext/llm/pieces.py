@@ -2,8 +2,10 @@
 
 An agenda of candidate merges, best score first, leftmost first among equals, builds a unit (blanks and the letters up
 to the next blank) from characters to pieces. Each candidate is skipped with probability `dropout`, decided by a hash
-keyed by seed, variant, unit and the candidate's place: the same key always gives the same segmentation, and any
-segmentation decodes to the same text. Without dropout the pieces are those of the model's own encoder.
+keyed by seed, the text's own hash and the candidate's number in the text: each occurrence of a word is dealt its own
+skips, the same text always gives the same segmentation, and any segmentation decodes to the same text. Without dropout
+the pieces are those of the model's own encoder. Workers remember only what no key decides: a unit's pieces without a
+skip, and with its candidates of given numbers skipped.
 
 What the vocabulary lacks, and the blank mark itself where a text holds it, becomes byte pieces, so that every text
 comes back exactly; nothing is normalised.
@@ -33,15 +35,14 @@ from loomtext.llm.common import small_batches, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 DROPOUT, SEED = 0.1, 17
-#: A unit is segmented in one of so many ways (at most MOST_VARIANTS), by the text's own hash.
-VARIANTS = 1
-#: Segmentations of units that a worker remembers for each variant; beyond that it starts anew.
-REMEMBER = 500_000
-MOST_VARIANTS = 16
+#: Units that a worker remembers, and as many segmentations of units with skips; beyond that it starts anew.
+REMEMBER = 250_000
 #: Units longer than this aren't remembered, and their agenda is a heap.
 LONG_UNIT = 40
 
-_M = (1 << 30) - 1  # the skips' hash works on 30 bits, which Python multiplies fast
+#: Candidates whose skips are drawn at once.
+DRAW = 4096
+_STEP, _NEVER = 0x9E3779B97F4A7C15, 1 << 62
 _PLACE = (1 << 40) - 1
 _NONE = 1 << 30
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
@@ -67,45 +68,65 @@ class Pieces:
             self.raw[i] = model.id_to_piece(i).replace(BLANK, " ").encode()
         for b, i in enumerate(self.bytes):
             self.raw[i] = bytes([b])
-        self.skip = int(dropout * (1 << 30))
-        self.seed = seed
-        self.keys = [xxhash.xxh64_intdigest(b"variant %d" % v, seed & 0xFFFFFFFFFFFFFFFF) for v in range(MOST_VARIANTS)]
-        self.known: list[dict[str, bytes]] = [{} for _ in range(MOST_VARIANTS)]
-
-    def segment(self, unit: str, variant: int = 0) -> list[str]:
-        """A unit's pieces: the agenda of merges, with its skips."""
-        return self.segment_long(unit, variant) if len(unit) > LONG_UNIT else self.segment_short(unit, variant)
-
-    def segment_short(self, unit: str, variant: int) -> list[str]:
+        self.skip = int(dropout * (1 << 53))
+        self.seed = seed & 0xFFFFFFFFFFFFFFFF
+        self.known: dict[str, tuple[int, bytes]] = {}
+        self.skipped: dict[tuple, tuple[int, bytes]] = {}
+
+    def skips(self, key: int) -> Iterator[int]:
+        """The numbers of the skipped candidates under a key, ascending, without end."""
+        if not self.skip:
+            yield _NEVER
+        base = np.uint64(xxhash.xxh64_intdigest((key & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little"), self.seed))
+        for lo in range(0, _NEVER, DRAW):
+            x = base + np.arange(lo + 1, lo + DRAW + 1, dtype=np.uint64) * np.uint64(_STEP)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            yield from (np.flatnonzero((x >> np.uint64(11)) < np.uint64(self.skip)) + lo).tolist()
+
+    def segment(self, unit: str, key: int = 0) -> list[str]:
+        """A unit's pieces: the agenda of merges, with its skips under a key."""
+        return self.segment_long(unit, key) if len(unit) > LONG_UNIT else self.segment_short(unit, key)
+
+    def segment_short(self, unit: str, key: int) -> list[str]:
+        return self.merge_short(unit, self.skips(key))[1]
+
+    def segment_long(self, unit: str, key: int) -> list[str]:
+        return self.merge_long(unit, self.skips(key))[1]
+
+    def merge(self, unit: str, skips: Iterator[int]) -> tuple[int, bytes]:
+        """How many candidates come up while those numbered in `skips` are skipped, and the ids."""
+        n, pieces = (self.merge_long if len(unit) > LONG_UNIT else self.merge_short)(unit, skips)
+        return n, self.piece_ids(pieces)
+
+    def merge_short(self, unit: str, skips: Iterator[int]) -> tuple[int, list[str]]:
         """The agenda as a list of the neighbours' candidates, searched anew for each merge: fastest for words."""
-        order, skip = self.order, self.skip
-        piece, last = list(unit), len(unit) - 1
-        rank = [order.get(unit[i : i + 2], _NONE) for i in range(last)]
-        place = list(range(last + 1))
-        key = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), self.keys[variant]) & _M if skip else 0
+        order, n, skip = self.order, 0, next(skips, _NEVER)
+        piece = list(unit)
+        get = order.get
+        rank = [get(a + b, _NONE) for a, b in zip(piece, piece[1:])]
         while rank and (r := min(rank)) != _NONE:
             i = rank.index(r)
+            n += 1
+            if n > skip:
+                skip = next(skips, _NEVER)
+                rank[i] = _NONE
+                continue
             merged = piece[i] + piece[i + 1]
-            if skip:
-                x = (key ^ (r * 12347 + place[i] * 15473 + len(merged) * 20981)) * 739982445 & _M
-                x = (x ^ (x >> 15)) * 695872825 & _M
-                if x ^ (x >> 15) < skip:
-                    rank[i] = _NONE
-                    continue
             piece[i] = merged
-            del piece[i + 1], place[i + 1], rank[i]
+            del piece[i + 1], rank[i]
             if i < len(rank):
-                rank[i] = order.get(merged + piece[i + 1], _NONE)
+                rank[i] = get(merged + piece[i + 1], _NONE)
             if i:
-                rank[i - 1] = order.get(piece[i - 1] + merged, _NONE)
-        return piece
+                rank[i - 1] = get(piece[i - 1] + merged, _NONE)
+        return n, piece
 
-    def segment_long(self, unit: str, variant: int) -> list[str]:
+    def merge_long(self, unit: str, skips: Iterator[int]) -> tuple[int, list[str]]:
         """The agenda as a heap: n log n for units of any length."""
         n = len(unit)
-        piece, order, skip = list(unit), self.order, self.skip
+        piece, order, count, skip = list(unit), self.order, 0, next(skips, _NEVER)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        key = xxhash.xxh64_intdigest(unit.encode("utf-8", "surrogatepass"), self.keys[variant]) & _M
         agenda = []  # numbers of score order, place and length of the merged piece
         for i in range(n - 1):
             if (r := order.get(unit[i : i + 2])) is not None:
@@ -118,11 +139,10 @@ class Pieces:
             a, j = piece[i], after[i]
             if not a or j >= n or len(a) + len(b := piece[j]) != entry & 255:
                 continue
-            if skip:
-                x = (key ^ ((entry >> 48) * 12347 + i * 15473 + (entry & 255) * 20981)) * 739982445 & _M
-                x = (x ^ (x >> 15)) * 695872825 & _M
-                if x ^ (x >> 15) < skip:
-                    continue
+            count += 1
+            if count > skip:
+                skip = next(skips, _NEVER)
+                continue
             piece[i], piece[j] = a + b, ""
             a += b
             k = after[i] = after[j]
@@ -133,11 +153,14 @@ class Pieces:
             h = before[i]
             if h >= 0 and (r := order.get(piece[h] + a)) is not None:
                 push(agenda, r << 48 | h << 8 | len(piece[h]) + len(a))
-        return [p for p in piece if p]
+        return count, [p for p in piece if p]
 
-    def unit_ids(self, unit: str, variant: int) -> bytes:
+    def piece_ids(self, pieces: list[str]) -> bytes:
+        found = list(map(self.ids.get, pieces))
+        if None not in found:
+            return array("i", found).tobytes()
         out: list[int] = []
-        for p in self.segment(unit, variant):
+        for p in pieces:
             i = self.ids.get(p)
             if i is None:
                 out += [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
@@ -145,26 +168,53 @@ class Pieces:
                 out.append(i)
         return array("i", out).tobytes()
 
-    def encode(self, text: str, variant: int = 0) -> np.ndarray:
+    def encode(self, text: str, key: int = 0) -> np.ndarray:
+        """The ids of a text whose candidates, numbered through all its units, are skipped under a key."""
         if not text:
             return np.zeros(0, np.int32)
         parts = []
         marked = (" " + text).split(BLANK)
-        known = self.known[variant]
+        known, skipped = self.known, self.skipped
+        skips = self.skips(key)
+        at, skip = 0, next(skips)  # the unit's first candidate; the next one to be skipped
         for k, part in enumerate(marked):
             if k:
                 parts.append(self.mark)
             for unit in _UNIT.findall(part.replace(" ", BLANK)):
                 got = known.get(unit)
-                if got is None:
-                    got = self.unit_ids(unit, variant)
-                    if len(unit) <= LONG_UNIT:
+                if got is None:  # most are rare: their own skips at once, remembered only where there is none
+                    used = [skip]
+                    got = self.merge(unit, self.within(skip, skips, at, used))
+                    if used[0] == skip and len(unit) <= LONG_UNIT:
                         if len(known) >= REMEMBER:
                             known.clear()
                         known[unit] = got
-                parts.append(got)
+                    skip = used[0]
+                    at += got[0]
+                    parts.append(got[1])
+                    continue
+                if at + got[0] > skip:
+                    which: tuple = (unit,)
+                    while at + got[0] > skip:
+                        which += (skip - at,)
+                        skip = next(skips)
+                        got = skipped.get(which)
+                        if got is None:
+                            if len(skipped) >= REMEMBER:
+                                skipped.clear()
+                            got = skipped[which] = self.merge(unit, iter(which[1:]))
+                at += got[0]
+                parts.append(got[1])
         return np.frombuffer(b"".join(parts), np.int32)
 
+    @staticmethod
+    def within(skip: int, skips: Iterator[int], at: int, used: list[int]) -> Iterator[int]:
+        """Skips as numbers within a unit; `used` holds the one that the unit hasn't come to."""
+        while True:
+            used[0] = skip
+            yield skip - at
+            skip = next(skips)
+
     @property
     def mark(self) -> bytes:
         return np.array([self.bytes[b] for b in BLANK.encode()], np.int32).tobytes()
@@ -173,8 +223,8 @@ class Pieces:
         raw = self.raw
         return b"".join([raw[i] for i in ids.tolist()])[1:].decode("utf-8", "surrogatepass")
 
-    def variant(self, text: str, variants: int) -> int:
-        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed) % variants if variants > 1 else 0
+    def key(self, text: str) -> int:
+        return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), self.seed)
 
 
 @lru_cache(4)
@@ -189,7 +239,7 @@ def _ids_column(ids: list[np.ndarray | None]) -> pa.Array:
 
 
 def encode(
-    df: DataFrame, text_col: str = "text", out: str = "ids", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, decoded: str | None = None
+    df: DataFrame, text_col: str = "text", out: str = "ids", model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, decoded: str | None = None
 ) -> DataFrame:
     """Every row with its pieces' ids; if `decoded` names a column, also with the text that those ids give back.
 
@@ -205,7 +255,7 @@ def encode(
         held = _pieces(model, dropout, seed)
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            ids = [None if t is None else held.encode(t, held.variant(t, variants)) for t in texts]
+            ids = [None if t is None else held.encode(t, held.key(t)) for t in texts]
             cols, names = [*batch.columns, _ids_column(ids)], [*batch.schema.names, out]
             if decoded:
                 cols.append(pa.array([None if x is None else held.decode(x) for x in ids], pa.string()))

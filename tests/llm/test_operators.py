@@ -348,3 +348,26 @@ def test_pieces(spark, sf, docs):
     assert all(r["lossless"] for r in rows(pieces.op10_pieces(spark, sf)))
     back = rows(pieces.decode(pieces.encode(docs)))
     assert Counter((r["doc_id"], r["decoded"]) for r in back) == Counter(TEXTS)
+
+
+def test_pieces_vary_by_occurrence(spark):
+    held = pieces.Pieces(pieces.MODEL, 0.3)
+    assert all(held.segment_short("▁" + w, k) == held.segment_long("▁" + w, k) for w in WORDS for k in range(5))
+    # whole texts: each unit's pieces are those of the agenda with the skips that fall to its own candidates
+    for text in ("segmentation of frequent words " * 60, "a" * 900 + " b " + "xyz" * 90):
+        skips = list(zip(range(9000), held.skips(7)))
+        skips, at, want = [x for _, x in skips], 0, b""
+        for unit in pieces._UNIT.findall((" " + text).replace(" ", pieces.BLANK)):
+            n, found = held.merge_long(unit, iter([x - at for x in skips if x >= at]))
+            want, at = want + held.piece_ids(found), at + n
+        assert held.encode(text, 7).tobytes() == want and held.decode(held.encode(text, 7)) == text
+    df = spark.createDataFrame([(i, f"text{i}" + " segmentation" * 50) for i in (1, 2, 2)], "doc_id long, text string")
+    got = {}
+    for r in rows(pieces.encode(df)):
+        assert got.setdefault(r["doc_id"], r["ids"]) == r["ids"]
+    ways = []
+    for ids in got.values():
+        texts = [held.raw[i] for i in ids]
+        ways.append(tuple(b"|".join(texts).split(b"| ")[2:]))
+    assert len(set(ways[0])) > 5 and ways[0] != ways[1]
+    assert abs(sum(x < 100_000 for x, _ in zip(pieces.Pieces(pieces.MODEL).skips(3), range(20_000))) - 10_000) < 500
