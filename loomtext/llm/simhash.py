@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.llm import nearcopies
 from loomtext.llm.common import Spilled, small_batches, spill, table
 from loomtext.llm.components import components
 
@@ -243,12 +244,15 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hex_fingerprint(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def drop_near_copies(df: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One document of each near-duplicate group stays: that with the smallest doc_id, then the smallest text hash.
+def drop_near_copies(df: DataFrame, shingle: int = nearcopies.SHINGLE, similarity: float = nearcopies.SIMILARITY) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest doc_id, then the smallest text hash.
+
+    Links are exact: texts whose sets of shingles are similar; see nearcopies.
 
     Documents with a null doc_id lose to others; of rows that repeat the kept one, one stays.
     """
-    found = simhash_groups(df, shingle=shingle, radius=radius)
+    roots = nearcopies.near_copy_roots(df, shingle=shingle, similarity=similarity).withColumnRenamed("node", "hash")
+    found = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).join(roots, "hash", "left").withColumn("root", F.coalesce("root", "hash"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
     winners = found.groupBy("root").agg(first).select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
     keyed = df.withColumn("_loomtext_key", F.xxhash64("doc_id", "text"))

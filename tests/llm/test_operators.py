@@ -371,3 +371,28 @@ def test_pieces_vary_by_occurrence(spark):
         ways.append(tuple(b"|".join(texts).split(b"| ")[2:]))
     assert len(set(ways[0])) > 5 and ways[0] != ways[1]
     assert abs(sum(x < 100_000 for x, _ in zip(pieces.Pieces(pieces.MODEL).skips(3), range(20_000))) - 10_000) < 500
+
+
+def edited(text, edits, seed):
+    r, words = random.Random(seed), text.split()
+    for i in r.sample(range(len(words)), edits):
+        words[i] = f"edit{seed}x{i}"
+    return " ".join(words)
+
+
+def jaccard(x, y, width=5):
+    a, b = ({tuple(t.split()[i : i + width]) for i in range(len(t.split()) - width + 1)} for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_by_similarity(spark):
+    """Pairs from 0.6 to 1, and a crowd larger than a block: what is dropped is what exact similarity links."""
+    texts = [t for s in range(150) for t in (prose(300, 500 + s), edited(prose(300, 500 + s), 3 + s % 13, s))]
+    pairs = [jaccard(texts[i], texts[i + 1]) for i in range(0, 300, 2)]
+    crowd = [edited(prose(300, 900), 2, s) for s in range(80)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts + crowd)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in rows(simhash.drop_near_copies(df))}
+    near = [2 * k + 1 for k, x in enumerate(pairs) if x >= 0.8]
+    assert len(near) > 50 and min(pairs) < 0.75
+    assert not kept & set(near) and {2 * k + 1 for k, x in enumerate(pairs) if x < 0.8} <= kept and set(range(0, 300, 2)) <= kept
+    assert {i for i in kept if i >= 300} == {300}
