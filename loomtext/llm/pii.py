@@ -5,9 +5,9 @@ tells most of what there is to know of the entity: over the corpus, with N docum
 
     log2(N * n(term, entity) / (n(term) * n(entity)))  >=  DISCLOSURE * log2(N / n(entity)),
 
-where n(entity) counts the entity's different contexts (NEAR words on either side; the same words around it, as in
-copies, count once), n(term, entity) those that hold the term, and n(term) the documents that hold the term. Pairs seen in fewer than
-SUPPORT contexts are left alone. Such terms are marked wherever they stand, and in sanitised text they are removed while entities
+where n(entity) counts the documents that hold the entity, n(term, entity) those where the term stands in one of its
+contexts (NEAR words on either side), and n(term) those that hold the term. All count documents, each copy as one.
+Pairs seen in fewer than SUPPORT documents are left alone. Such terms are marked wherever they stand, and in sanitised text they are removed while entities
 become their kind's name.
 
 All patterns run in time linear in the text and without recursion, so long texts are safe.
@@ -101,16 +101,17 @@ def _around(text: Column, span: Column) -> Column:
 
 def disclosing_terms(marked: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
     """(term, entity, ratio) over a table of (key, text, spans); a table in the shared folder."""
-    some = marked.filter(F.size("spans") > 0).select("key", "text", F.explode("spans").alias("span"))
-    around = F.array_distinct(_around(F.col("text"), F.col("span"))).alias("around")
-    contexts = spill(some.select("key", F.lower("span.value").alias("entity"), around).distinct(), "contexts")
+    near = F.transform("spans", lambda s: F.transform(F.filter(_around(F.col("text"), s), lambda w: F.length(w) >= TERM_LENGTH), lambda w: F.struct(w.alias("term"), F.lower(s["value"]).alias("entity"))))
+    entities_of = F.array_distinct(F.transform("spans", lambda s: F.lower(s["value"]))).alias("entities")
+    # One row a document, so that every count below is of documents; sums are made before a shuffle.
+    contexts = spill(marked.filter(F.size("spans") > 0).select(entities_of, F.array_distinct(F.flatten(near)).alias("held")), "contexts")
     total = F.lit(marked.count())
-    seen = contexts.select("entity", "around").distinct()
-    often = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support)
-    words = seen.join(often, "entity").select("entity", "n_entity", F.explode("around").alias("term")).filter(F.length("term") >= TERM_LENGTH)
-    pairs = words.groupBy("term", "entity", "n_entity").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
-    # A term's texts in contexts are some of its documents: where they are too many already, the corpus isn't asked.
-    least = contexts.select("key", F.explode("around").alias("term")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
+    often = contexts.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support)
+    both = contexts.select(F.explode("held").alias("pair")).select("pair.*").groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_both"))
+    pairs = both.filter(F.col("n_both") >= support).join(often, "entity")
+    # A term's documents where it is in a context are some of its documents: where they are too many already, the corpus isn't asked.
+    terms_of = F.array_distinct(F.transform("held", lambda x: x["term"]))
+    least = contexts.select(F.explode(terms_of).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
     whole_ratio = F.greatest(total, F.col("n_entity") + 1) / F.col("n_entity")
     open_pairs = pairs.join(least, "term").filter(F.col("n_least") <= F.col("n_both") * F.pow(whole_ratio, F.lit(1 - disclosure)) * 1.000001)
     pairs = spill(open_pairs.drop("n_least"), "pairs")

@@ -396,3 +396,13 @@ def test_near_copies_by_similarity(spark):
     assert len(near) > 50 and min(pairs) < 0.75
     assert not kept & set(near) and {2 * k + 1 for k, x in enumerate(pairs) if x < 0.8} <= kept and set(range(0, 300, 2)) <= kept
     assert {i for i in kept if i >= 300} == {300}
+
+
+@pytest.mark.parametrize("texts", [
+    [f"case{i} zorblax a.b@x.org item{i}" for i in range(4)] + ["case9 zorblax a.b@x.org item9"] * 300,  # one context has 300 copies
+    [f"own{i} text{i} of each one{i} here{i} first{i}: write to the zorblax desk at a.b@x.org or come along with us all" for i in range(50)],  # one passage in all
+], ids=["copied", "shared"])
+def test_pii_counts_documents(spark, texts):
+    data = [(i, f"word{i} write to the desk or come along with us all") for i in range(1000)] + [(2000 + i, t) for i, t in enumerate(texts)] + [(9000, "the zorblax agent")]
+    got = {r["doc_id"]: r["text"] for r in rows(pii.sanitise(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert got[9000] == "the  agent" and "zorblax" not in " ".join(got.values()) and got[5] == data[5][1] and len(got) == len(data)
