@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from loomtext.llm.common import small_batches, spill, table
+from loomtext.llm.common import scratch_path, small_batches, spill, table
 
 RATE, UP, DOWN = 8000, 3, 4
 WINDOW, HOP, MELS, CLIP = 256, 128, 24, 64
@@ -164,7 +164,7 @@ def tensor_array(column: pa.ChunkedArray | pa.Array) -> pa.FixedShapeTensorArray
 
 def features(df: DataFrame, media_col: str = "media") -> DataFrame:
     """Every row without its media, with what is read back from them: the payload's and the file's digests, the number
-    of frames and clips, a digest of the stored tensors with their time spans, and the energy segments."""
+    of frames and clips, a digest of the tensors with their time spans (that of stored_digests), and the energy segments."""
     small_batches(df.sparkSession)
     df = df.drop(*FEATURES)
     at = df.columns.index(media_col)
@@ -204,6 +204,54 @@ def features(df: DataFrame, media_col: str = "media") -> DataFrame:
     return df.mapInArrow(run, StructType(fields))
 
 
+def store_tensors(df: DataFrame, id_col: str, media_col: str = "media") -> DataFrame:
+    """tensors() as a table in the shared folder, read again."""
+    made = tensors(df, id_col, media_col)
+    path = scratch_path(df.sparkSession, "tensors")
+    made.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(made.schema).parquet(path)
+
+
+def joined_crc(clips_of: list[tuple[int, int, int]]) -> int:
+    """The digest of a medium's tensors from its clips' own (clip, CRC of the time span, CRC of the tensor)."""
+
+    def add(crc: int, size: int, part: int) -> int:  # the CRC of what had `crc`, followed by `size` bytes that have `part`
+        zeros = bytes(size)
+        return zlib.crc32(zeros, crc) ^ zlib.crc32(zeros) ^ part
+
+    crc, ordered, step = 0, sorted(clips_of), PIECE // CLIP
+    for lo in range(0, len(ordered), step):
+        piece = ordered[lo : lo + step]
+        for _, one, _ in piece:
+            crc = add(crc, 16, one)
+        for *_, one in piece:
+            crc = add(crc, CLIP * MELS * 4, one)
+    return crc
+
+
+def stored_digests(stored: DataFrame) -> DataFrame:
+    """(id, clips, tensor_crc32) read from a table of tensors; only the clips' digests are shuffled."""
+    small_batches(stored.sparkSession, 64)
+    kind = stored.schema["id"].dataType.simpleString()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.round(tensor_array(batch.column(4)).to_numpy_ndarray(), 2)
+            spans = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            cols = [pa.array([zlib.crc32(struct.pack("<dd", *x)) for x in spans], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["id", "clip", "span_crc", "crc"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [[(x["clip"], x["span_crc"], x["crc"]) for x in r] for r in batch.column(1).to_pylist()]
+            cols = [pa.array([len(r) for r in held], pa.int64()), pa.array([joined_crc(r) for r in held], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "clips", "tensor_crc32"])
+
+    digests = stored.select("id", "clip", "start_s", "end_s", "tensor").mapInArrow(each, f"id {kind}, clip int, span_crc long, crc long")
+    gathered = digests.groupBy("id").agg(F.collect_list(F.struct("clip", "span_crc", "crc")).alias("held"))
+    return gathered.mapInArrow(whole, f"id {kind}, clips long, tensor_crc32 long")
+
+
 def with_media(df: DataFrame, text_col: str = "text", out: str = "media") -> DataFrame:
     """Rows with their text's UTF-8 bytes, padded with blanks to a multiple of PAD_TO, as a WAV file; and n_bytes."""
     n = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
@@ -216,8 +264,9 @@ def with_media(df: DataFrame, text_col: str = "text", out: str = "media") -> Dat
 
 
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = spill(with_media(table(spark, sf_dir, "documents").select("doc_id", "text")), "media")
-    read = features(stored)
+    stored = spill(with_media(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("_row", F.monotonically_increasing_id()), "media")
+    digests = stored_digests(store_tensors(stored, "_row")).withColumnRenamed("id", "_row")
+    read = features(stored).drop("clips", "tensor_crc32").join(digests, "_row", "left").na.fill(0, ["clips", "tensor_crc32"])
     text = F.concat_ws(";", F.concat(F.lit("frames="), "frames"), F.concat(F.lit("clips="), "clips"), F.concat(F.lit("crc="), "tensor_crc32"),
         F.concat(F.lit("segments="), F.concat_ws(",", F.transform("segments", lambda s: F.format_string("%.4f-%.4f", s["start_s"], s["end_s"])))))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", text.alias("feature"))

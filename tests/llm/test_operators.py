@@ -406,3 +406,20 @@ def test_pii_counts_documents(spark, texts):
     data = [(i, f"word{i} write to the desk or come along with us all") for i in range(1000)] + [(2000 + i, t) for i, t in enumerate(texts)] + [(9000, "the zorblax agent")]
     got = {r["doc_id"]: r["text"] for r in rows(pii.sanitise(spark.createDataFrame(data, "doc_id long, text string")))}
     assert got[9000] == "the  agent" and "zorblax" not in " ".join(got.values()) and got[5] == data[5][1] and len(got) == len(data)
+
+
+def test_audio_stores_tensors(spark, sf, monkeypatch):
+    tables = []
+    monkeypatch.setattr(audio, "scratch_path", lambda spark, label, made=audio.scratch_path: tables.append((label, made(spark, label))) or tables[-1][1])
+    got = rows(audio.op5_audio(spark, sf))
+    (path,) = [p for label, p in tables if label == "tensors"]
+    stored = spark.read.parquet(path).toArrow()
+    want = rows(audio.features(audio.with_media(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))))
+    text = lambda r: f"frames={r['frames']};clips={r['clips']};crc={r['tensor_crc32']};"
+    assert Counter((r["doc_id"], r["feature"].split("segments")[0]) for r in got) == Counter((r["doc_id"], text(r)) for r in want)
+    assert stored.num_rows == sum(r["clips"] for r in want) and audio.tensor_array(stored["tensor"]).to_numpy_ndarray().shape[1:] == (audio.CLIP, audio.MELS)
+    assert {"start_s", "end_s", "clip"} <= set(stored.column_names)
+    noise = np.random.default_rng(4).integers(0, 256, 900_000).astype(np.uint8).tobytes()  # more than one piece
+    df = spark.createDataFrame([(1, audio.wav(noise)), (2, None)], "doc_id long, media binary")
+    (r,) = rows(audio.stored_digests(audio.store_tensors(df, "doc_id")))
+    assert (r["clips"], r["tensor_crc32"]) == next((x["clips"], x["tensor_crc32"]) for x in rows(audio.features(df)) if x["doc_id"] == 1)
