@@ -265,7 +265,9 @@ def _found(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, bl
         for batch in batches:
             for anchor_of, segment, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.frombuffer(data, np.uint8)
-                one, two = (window_hashes(x, length, salt).view(np.int64) for salt in (1, 7919))
+                # Hashes of sums can collide together, whatever their base; the other half of the key is a hash of another kind.
+                one = window_hashes(x, length).view(np.int64)
+                two = np.array([xxhash.xxh64_intdigest(data[i : i + length]) for i in range(len(one))], np.uint64).view(np.int64)
                 n = len(one)
                 cols = [np.full(n, anchor_of), np.full(n, segment), np.arange(n, dtype=np.int32), one, two]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "segment", "start", "one", "two"])

@@ -423,3 +423,10 @@ def test_audio_stores_tensors(spark, sf, monkeypatch):
     df = spark.createDataFrame([(1, audio.wav(noise)), (2, None)], "doc_id long, media binary")
     (r,) = rows(audio.stored_digests(audio.store_tensors(df, "doc_id")))
     assert (r["clips"], r["tensor_crc32"]) == next((x["clips"], x["tensor_crc32"]) for x in rows(audio.features(df)) if x["doc_id"] == 1)
+
+
+def test_repeats_hashed_strings_do_not_collide(spark):
+    signs = [i.bit_count() % 2 for i in range(2048)]  # Thue-Morse: sums modulo 2**64 agree with the complement's, whatever the base
+    texts = ["".join("ab"[x] for x in signs), "".join("ba"[x] for x in signs)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["n_removed"] for r in rows(repeats.without_repeats(df, length=2048, gram=7, block=1))] == [0, 0]
