@@ -5,9 +5,9 @@ always meet and nothing else has to:
 
 1. Texts are taken once each (their copies are covered whole) and kept in a table bucketed by the text's digest.
 2. The anchor of a string is its GRAM-byte substring of least hash, the leftmost among equals. Equal strings have equal
-   anchors, so strings are dealt by anchor: an anchor's segment holds all its strings. Segments seen twice
+   anchors, so strings are dealt by anchor: an anchor's segment holds all its strings. Segments seen twice (by a 128-bit digest)
    are repeated throughout; anchors with one segment need no more; the rest goes on, with its bytes.
-3. Segments, whole anchors together, form blocks of bounded size. In a block's Burrows-Wheeler transform, intervals of
+3. Segments, whole anchors together, form blocks of bounded size, so many a task as their bytes ask for. In a block's Burrows-Wheeler transform, intervals of
    rows are extended backward breadth-first: each level derives the common prefixes of one more byte, by increasing value, and
    the work stops at LENGTH. Rows whose common prefix got no value share LENGTH bytes or more.
 4. An anchor with more segments than a block holds (a passage in very many surroundings) is split exactly: its strings are
@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.llm.common import scratch_path, small_batches, spill, table
+from loomtext.llm.common import remove, scratch_path, small_batches, spill, table
 
 LENGTH, GRAM = 400, 150
 #: Bytes of a block that is transformed at once; an anchor with more is split.
 BLOCK = 1 << 20
+#: Blocks of a task, about.
+BLOCKS_A_TASK, MOST_TASKS = 6, 20_000
 #: Strings of a text are anchored so many at a time.
 PIECE = 1 << 19
 
@@ -177,51 +180,59 @@ def repeated_starts(parts: list[bytes], length: int = LENGTH) -> np.ndarray:
     return out
 
 
-def _distinct(docs: DataFrame) -> DataFrame:
-    """(key, text, copies): each text once, bucketed by key, so that later joins leave the texts where they are."""
+@contextmanager
+def _distinct(docs: DataFrame) -> Iterator[DataFrame]:
+    """(key, text, copies): each text once, bucketed by key, so that joins leave the texts where they are; gone afterwards."""
     spark = docs.sparkSession
     name, path = f"loomtext_texts_{uuid.uuid4().hex}", scratch_path(spark, "texts")
     once = docs.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     once.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").option("path", path).saveAsTable(name)
-    return spark.table(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # of the catalog only; what the table's path holds goes now
+        remove(spark, path)
 
 
-def _flatten(keys: pa.Array, found: list[tuple[int, np.ndarray]], kinds: list[str], names: list[str]) -> pa.RecordBatch:
-    """Rows of several columns that belong to the batch's row number given."""
-    at = np.repeat([i for i, _ in found], [len(x[0]) for _, x in found]).astype(np.int64)
-    cols = [np.concatenate([np.asarray(x[j]) for _, x in found]) for j in range(len(kinds))]
-    return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *[pa.array(c.astype(k)) for c, k in zip(cols, kinds, strict=True)]], names)
+def _docs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(df.sparkSession)
+    return df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return spill(docs.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """(id, key, n_bytes, copies, spans): each row's removed spans (start, end) in bytes, sorted, possibly overlapping; with
     copies > 1 and n_bytes >= length the whole text is removed. key: the text's MD5."""
-    rows, texts, spans = _found(df, id_col, text_col, length, gram, block)
-    return rows.join(texts.select("key", "copies"), "key").join(spans, "key", "left")
+    docs = _docs(df, id_col, text_col)
+    with _distinct(docs) as texts:
+        found = spill(texts.select("key", "copies").join(_found(texts, length, gram, block), "key", "left"), "spans")
+    return _rows(docs).join(found, "key")
 
 
-def _found(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    spark = df.sparkSession
-    small_batches(spark)
+def _found(texts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+    """(key, spans) of the texts with a removed span of their own."""
     if not 0 < gram <= length:
         raise ValueError("the anchor lies within the string")
-    docs = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    rows = spill(docs.select("id", "key", F.octet_length("text").cast("long").alias("n_bytes")), "rows")
-    texts = _distinct(docs)
 
     def anchor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            found = []
+            of, segments, cols = [], [], []
             for i, text in enumerate(batch.column(1).cast(pa.large_binary()).to_pylist()):
                 for hashes, first, count in anchors(text, length, gram):
-                    segments = [digest(text[a:b]) for a, b in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)]
-                    found.append((i, (hashes.view(np.int64), np.array(segments, np.uint64).view(np.int64), first, count)))
-            if found:
-                yield _flatten(batch.column(0), found, ["i8", "i8", "i8", "i4"], ["key", "anchor", "segment", "first", "count"])
+                    segments += [digest(text[a:b]) for a, b in zip(first.tolist(), (first + count + length - 1).tolist(), strict=True)]
+                    of += [i] * len(first)
+                    cols.append((hashes.view(np.int64), first.astype(np.int64), count.astype(np.int32)))
+            if cols:
+                hashes, first, count = (pa.array(np.concatenate(c)) for c in zip(*cols, strict=True))
+                parts = [batch.column(0).take(pa.array(of, pa.int64())), hashes, pa.array(segments, pa.binary()), first, count]
+                yield pa.RecordBatch.from_arrays(parts, ["key", "anchor", "segment", "first", "count"])
 
     long_texts = texts.filter(F.octet_length("text") >= length).select("key", "text")
-    placed = spill(long_texts.mapInArrow(anchor, "key binary, anchor long, segment long, first long, count int"), "anchors")
+    placed = spill(long_texts.mapInArrow(anchor, "key binary, anchor long, segment binary, first long, count int"), "anchors")
     groups = spill(
         placed.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first")).alias("at"), F.first("count").alias("count")), "segments"
     )
@@ -233,11 +244,11 @@ def _found(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, bl
         for batch in batches:
             for text, wanted_here in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = [text[w["first"] : w["first"] + w["count"] + length - 1] for w in wanted_here]
-                cols = [pa.array([w[c] for w in wanted_here]) for c in ("anchor", "segment", "large")]
+                cols = [pa.array([w[c] for w in wanted_here], k) for c, k in (("anchor", pa.int64()), ("segment", pa.binary()), ("large", pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(data, pa.binary())], ["anchor", "segment", "large", "data"])
 
-    segments = spill(texts.join(wanted, "key").select("text", "wanted").mapInArrow(cut, "anchor long, segment long, large boolean, data binary"), "rivals")
-    schema = "anchor long, segment long, start int, stop int"
+    segments = spill(texts.join(wanted, "key").select("text", "wanted").mapInArrow(cut, "anchor long, segment binary, large boolean, data binary"), "rivals")
+    schema = "anchor long, segment binary, start int, stop int"
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -251,15 +262,16 @@ def _found(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, bl
         if held:
             yield from transformed(held)
 
-    def transformed(held: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    def transformed(held: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         shared = repeated_starts([data for *_, data in held], length)
         edges = np.diff(np.r_[0, shared.astype(np.int8), 0])
         start, stop = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)  # end marks are never shared, so runs lie in one part
         ends = np.cumsum([len(data) + 1 for *_, data in held])
         of = np.searchsorted(ends, start, "right")
         base = np.r_[0, ends[:-1]][of]
-        cols = [np.array([row[j] for row in held], np.int64)[of] for j in (0, 1)] + [(start - base).astype(np.int32), (stop - base).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], schema.replace(",", "").split()[::2])
+        names = [pa.array([row[j] for row in held], k).take(pa.array(of)) for j, k in ((0, pa.int64()), (1, pa.binary()))]
+        places = [pa.array((x - base).astype(np.int32)) for x in (start, stop)]
+        yield pa.RecordBatch.from_arrays([*names, *places], schema.replace(",", "").split()[::2])
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,19 +281,20 @@ def _found(df: DataFrame, id_col: str, text_col: str, length: int, gram: int, bl
                 one = window_hashes(x, length).view(np.int64)
                 two = np.array([xxhash.xxh64_intdigest(data[i : i + length]) for i in range(len(one))], np.uint64).view(np.int64)
                 n = len(one)
-                cols = [np.full(n, anchor_of), np.full(n, segment), np.arange(n, dtype=np.int32), one, two]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "segment", "start", "one", "two"])
+                cols = [pa.array(np.full(n, anchor_of)), pa.array([segment] * n, pa.binary()), *map(pa.array, (np.arange(n, dtype=np.int32), one, two))]
+                yield pa.RecordBatch.from_arrays(cols, ["anchor", "segment", "start", "one", "two"])
 
-    dealt = segments.filter("not large").select("anchor", "segment", "data").repartition("anchor").sortWithinPartitions("anchor")
+    small = segments.filter("not large").select("anchor", "segment", "data")
+    whole = small.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    dealt = small.repartition(min(MOST_TASKS, 1 + whole // (BLOCKS_A_TASK * block)), "anchor").sortWithinPartitions("anchor")
     found = dealt.mapInArrow(expand, schema)
-    strings = segments.filter("large").select("anchor", "segment", "data").mapInArrow(spell, "anchor long, segment long, start int, one long, two long")
+    strings = segments.filter("large").select("anchor", "segment", "data").mapInArrow(spell, "anchor long, segment binary, start int, one long, two long")
     again = strings.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     single = strings.join(again, ["one", "two"]).select("anchor", "segment", "start", (F.col("start") + 1).alias("stop"))
     same = groups.filter("n > 1").select("anchor", "segment", F.lit(0).alias("start"), F.col("count").alias("stop"))
     runs = spill(found.union(single).union(same), "runs")
     starts = placed.join(runs, ["anchor", "segment"]).select("key", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("stop") + length - 1).alias("end"))
-    spans = starts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    return rows, texts, spans
+    return starts.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def remove_spans(text: bytes, spans: list[dict] | None) -> tuple[int, int, bytes]:
@@ -302,7 +315,7 @@ def remove_spans(text: bytes, spans: list[dict] | None) -> tuple[int, int, bytes
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, kept_bytes: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and `kept` (binary) if asked for."""
-    rows, texts, spans = _found(df, id_col, text_col, length, gram, block)
+    docs = _docs(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,8 +330,10 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     names = ["key", "n_removed", "n_spans", "kept_sha256", *(["kept"] if kept_bytes else [])]
     schema = "key binary, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept_bytes
-    done = spill(texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(run, schema), "kept")
-    return rows.join(done, "key").drop("key")
+    with _distinct(docs) as texts:
+        spans = _found(texts, length, gram, block)
+        done = spill(texts.join(spans, "key", "left").select("key", "text", "copies", "spans").mapInArrow(run, schema), "kept")
+    return _rows(docs).join(done, "key").drop("key")
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
