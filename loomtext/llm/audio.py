@@ -5,6 +5,9 @@ filter split into its phases; frames overlap by half; log-mel energies are store
 MELS bands, the last one padded with the floor), each with its time span; energy segments open above a high level and
 close below a low one. Long media are worked through in pieces whose borders change nothing.
 
+Energies are stored to DECIMALS decimals of a natural logarithm (a half of 0.01 is 0.02 dB), far below what 8-bit samples resolve; with so
+few different values Parquet's dictionaries hold them in a third of the space.
+
 Defined results: null or empty media (or a WAV without samples) have no frame, tensor or segment; repeated rows get equal
 results; an empty table gives an empty result; other columns are left alone.
 """
@@ -29,11 +32,12 @@ RATE, UP, DOWN = 8000, 3, 4
 WINDOW, HOP, MELS, CLIP = 256, 128, 24, 64
 TAPS = 16  # of each phase
 FLOOR = 1e-6
+DECIMALS = 2
 OPEN_DB, CLOSE_DB = 0.5, -0.5  # against the medium's mean level
 #: Frames worked on at once.
 PIECE = 4096
 PAD_TO, PAD = 192, 32
-FEATURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "clips", "tensor_crc32", "segments"]
+FEATURES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "segments"]
 HEADER = struct.Struct("<4sI4s4sIHHIIHH4sI")
 
 
@@ -98,19 +102,28 @@ def frames_of(n: int) -> int:
     return 0 if not n else max(1, 1 + (size - WINDOW) // HOP)
 
 
-def log_mel(x: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log-mel bands and level (dB) of frames lo to hi."""
+def frames(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Windowed frames lo to hi, a row each."""
     y = resample(x, lo * HOP, (hi - 1) * HOP + WINDOW)
-    frames = np.lib.stride_tricks.sliding_window_view(y, WINDOW)[::HOP] * np.hanning(WINDOW).astype(np.float32)
-    power = np.abs(np.fft.rfft(frames)).astype(np.float32) ** 2
-    return np.log(power @ mel_bank() + FLOOR).astype(np.float32), 10 * np.log10((frames**2).mean(1) + FLOOR)
+    return np.lib.stride_tricks.sliding_window_view(y, WINDOW)[::HOP] * np.hanning(WINDOW).astype(np.float32)
+
+
+def log_mel(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Log-mel bands of frames lo to hi."""
+    power = np.abs(np.fft.rfft(frames(x, lo, hi))).astype(np.float32) ** 2
+    return np.round(np.log(power @ mel_bank() + FLOOR), DECIMALS).astype(np.float32)
 
 
-def segments(level: np.ndarray) -> list[tuple[float, float]]:
+def level(x: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Level (dB) of frames lo to hi."""
+    return 10 * np.log10((frames(x, lo, hi) ** 2).mean(1) + FLOOR)
+
+
+def segments(levels: np.ndarray) -> list[tuple[float, float]]:
     """Time spans from rising above the high level until falling below the low one."""
-    if not len(level):
+    if not len(levels):
         return []
-    mark = np.where(level >= level.mean() + OPEN_DB, 1, np.where(level < level.mean() + CLOSE_DB, -1, 0))
+    mark = np.where(levels >= levels.mean() + OPEN_DB, 1, np.where(levels < levels.mean() + CLOSE_DB, -1, 0))
     last = np.maximum.accumulate(np.where(mark != 0, np.arange(len(mark)), -1))
     on = np.r_[False, (last >= 0) & (mark[last] == 1), False]
     change = np.flatnonzero(on[1:] != on[:-1])
@@ -118,15 +131,22 @@ def segments(level: np.ndarray) -> list[tuple[float, float]]:
     return [(float(a * step), float((b - 1) * step + size)) for a, b in change.reshape(-1, 2)]
 
 
-def clips(payload: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(tensors, levels, first clip) piece by piece; tensors have shape (clips, CLIP, MELS)."""
+def clips(payload: bytes) -> Iterator[tuple[np.ndarray, int]]:
+    """(tensors, first clip) piece by piece; tensors have shape (clips, CLIP, MELS)."""
     x = np.frombuffer(payload, np.uint8)
     total = frames_of(len(x))
     for lo in range(0, total, PIECE):
-        mel, level = log_mel(x, lo, min(total, lo + PIECE))
-        whole = np.full((-(-len(mel) // CLIP) * CLIP, MELS), np.float32(np.log(FLOOR)), np.float32)
+        mel = log_mel(x, lo, min(total, lo + PIECE))
+        whole = np.full((-(-len(mel) // CLIP) * CLIP, MELS), np.round(np.float32(np.log(FLOOR)), DECIMALS), np.float32)
         whole[: len(mel)] = mel
-        yield whole.reshape(-1, CLIP, MELS), level, lo // CLIP
+        yield whole.reshape(-1, CLIP, MELS), lo // CLIP
+
+
+def energy_segments(payload: bytes) -> list[tuple[float, float]]:
+    """The energy segments of a whole payload."""
+    x = np.frombuffer(payload, np.uint8)
+    total = frames_of(len(x))
+    return segments(np.concatenate([level(x, lo, min(total, lo + PIECE)) for lo in range(0, total, PIECE)])) if total else []
 
 
 def span(clip: int, payload_bytes: int) -> tuple[float, float]:
@@ -137,14 +157,14 @@ def span(clip: int, payload_bytes: int) -> tuple[float, float]:
 
 def tensors(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """(id, clip, start_s, end_s, tensor): one fixed-shape tensor a row, flat, row-major; see tensor_array()."""
-    small_batches(df.sparkSession, 64)
+    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, media in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 payload = samples(media or b"")
-                for found, _, first in clips(payload):
+                for found, first in clips(payload):
                     numbers = list(range(first, first + len(found)))
                     start, end = zip(*(span(c, len(payload)) for c in numbers), strict=True)
                     flat = pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), CLIP * MELS).cast(pa.list_(pa.float32()))
@@ -164,7 +184,7 @@ def tensor_array(column: pa.ChunkedArray | pa.Array) -> pa.FixedShapeTensorArray
 
 def features(df: DataFrame, media_col: str = "media") -> DataFrame:
     """Every row without its media, with what is read back from them: the payload's and the file's digests, the number
-    of frames and clips, a digest of the tensors with their time spans (that of stored_digests), and the energy segments."""
+    of frames, and the energy segments."""
     small_batches(df.sparkSession)
     df = df.drop(*FEATURES)
     at = df.columns.index(media_col)
@@ -172,25 +192,17 @@ def features(df: DataFrame, media_col: str = "media") -> DataFrame:
     def one(media: bytes | None):
         media = media or b""
         payload = samples(media)
-        crc, levels, n = 0, [], 0
-        for found, level, first in clips(payload):
-            for c in range(first, first + len(found)):
-                crc = zlib.crc32(struct.pack("<dd", *span(c, len(payload))), crc)
-            crc = zlib.crc32(np.round(found, 2).tobytes(), crc)
-            levels.append(level)
-            n += len(found)
-        spans = segments(np.concatenate(levels)) if levels else []
         return (
             len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(),
-            frames_of(len(payload)), n, crc, spans,
+            frames_of(len(payload)), energy_segments(payload),
         )
 
     more = StructType.fromDDL(
         "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-        "frames long, clips long, tensor_crc32 long, segments array<struct<start_s: double, end_s: double>>"
+        "frames long, segments array<struct<start_s: double, end_s: double>>"
     )
     spans_type = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), spans_type]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), spans_type]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,43 +224,30 @@ def store_tensors(df: DataFrame, id_col: str, media_col: str = "media") -> DataF
     return df.sparkSession.read.schema(made.schema).parquet(path)
 
 
-def joined_crc(clips_of: list[tuple[int, int, int]]) -> int:
-    """The digest of a medium's tensors from its clips' own (clip, CRC of the time span, CRC of the tensor)."""
-
-    def add(crc: int, size: int, part: int) -> int:  # the CRC of what had `crc`, followed by `size` bytes that have `part`
-        zeros = bytes(size)
-        return zlib.crc32(zeros, crc) ^ zlib.crc32(zeros) ^ part
-
-    crc, ordered, step = 0, sorted(clips_of), PIECE // CLIP
-    for lo in range(0, len(ordered), step):
-        piece = ordered[lo : lo + step]
-        for _, one, _ in piece:
-            crc = add(crc, 16, one)
-        for *_, one in piece:
-            crc = add(crc, CLIP * MELS * 4, one)
-    return crc
+def joined_crc(clips_of: list[tuple[int, int]]) -> int:
+    """The digest of a medium's tensors from its clips' own: (clip, CRC of its time span and values), in the clips' order."""
+    return zlib.crc32(b"".join(crc.to_bytes(4, "little") for _, crc in sorted(clips_of)))
 
 
 def stored_digests(stored: DataFrame) -> DataFrame:
     """(id, clips, tensor_crc32) read from a table of tensors; only the clips' digests are shuffled."""
-    small_batches(stored.sparkSession, 64)
+    small_batches(stored.sparkSession)
     kind = stored.schema["id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.round(tensor_array(batch.column(4)).to_numpy_ndarray(), 2)
             spans = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            cols = [pa.array([zlib.crc32(struct.pack("<dd", *x)) for x in spans], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["id", "clip", "span_crc", "crc"])
+            crcs = [zlib.crc32(x.tobytes(), zlib.crc32(struct.pack("<dd", *s))) for s, x in zip(spans, tensor_array(batch.column(4)).to_numpy_ndarray(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], ["id", "clip", "crc"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [[(x["clip"], x["span_crc"], x["crc"]) for x in r] for r in batch.column(1).to_pylist()]
+            held = [[(x["clip"], x["crc"]) for x in r] for r in batch.column(1).to_pylist()]
             cols = [pa.array([len(r) for r in held], pa.int64()), pa.array([joined_crc(r) for r in held], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["id", "clips", "tensor_crc32"])
 
-    digests = stored.select("id", "clip", "start_s", "end_s", "tensor").mapInArrow(each, f"id {kind}, clip int, span_crc long, crc long")
-    gathered = digests.groupBy("id").agg(F.collect_list(F.struct("clip", "span_crc", "crc")).alias("held"))
+    digests = stored.select("id", "clip", "start_s", "end_s", "tensor").mapInArrow(each, f"id {kind}, clip int, crc long")
+    gathered = digests.groupBy("id").agg(F.collect_list(F.struct("clip", "crc")).alias("held"))
     return gathered.mapInArrow(whole, f"id {kind}, clips long, tensor_crc32 long")
 
 
@@ -266,7 +265,7 @@ def with_media(df: DataFrame, text_col: str = "text", out: str = "media") -> Dat
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = spill(with_media(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("_row", F.monotonically_increasing_id()), "media")
     digests = stored_digests(store_tensors(stored, "_row")).withColumnRenamed("id", "_row")
-    read = features(stored).drop("clips", "tensor_crc32").join(digests, "_row", "left").na.fill(0, ["clips", "tensor_crc32"])
+    read = features(stored).join(digests, "_row", "left").na.fill(0, ["clips", "tensor_crc32"])
     text = F.concat_ws(";", F.concat(F.lit("frames="), "frames"), F.concat(F.lit("clips="), "clips"), F.concat(F.lit("crc="), "tensor_crc32"),
         F.concat(F.lit("segments="), F.concat_ws(",", F.transform("segments", lambda s: F.format_string("%.4f-%.4f", s["start_s"], s["end_s"])))))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", text.alias("feature"))
