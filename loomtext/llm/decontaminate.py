@@ -2,12 +2,13 @@
 
 Every document's words (runs of letters and digits, lower-cased) form five-word shingles; every window with as many
 shingles as some benchmark item gets a SimHash. Windows that hold too few benchmark shingles to reach the similarity are
-skipped first, which loses nothing. A multi-index of the items' fingerprints (blocks of 8 bits; within the radius, some
-block differs by at most radius / blocks bits) gives every item within the radius, and the exact weighted similarity of
-the two bags of shingles (sum of smaller counts by sum of larger counts) decides.
+skipped first, which loses nothing. A multi-index of the items' fingerprints gives every item within the radius: of BLOCKS
+blocks one differs by at most radius / BLOCKS bits, and a table for each block names the items that near, which leaves about a
+fifth of the items to be compared. The exact weighted similarity of the two bags of shingles (sum of smaller counts by sum of
+larger counts) decides.
 
-The benchmark is held by every task in blocks of at most ITEMS_A_BLOCK items; a larger benchmark takes one pass over
-the documents a block.
+The benchmark is held by every task in blocks of at most INDEX_BYTES, counted as it is read; a larger benchmark takes one
+pass over the documents a block.
 
 Defined results: null or empty texts and items without a word match nothing; an item shorter than a shingle is one
 shingle of all its words; equal items each give their row; repeated documents each give their rows; ties between windows
@@ -16,10 +17,9 @@ go to the first; other columns are left alone.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,13 @@ from loomtext.llm.vector_text import BASE, Words, chunks, mix
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 20
-BLOCKS, BLOCK_BITS = 8, 8
-ITEMS_A_BLOCK = 5_000
+#: A window at similarity 0.8 differs from the item in 10 of 64 bits or so, and in more than this with a probability under 0.01.
+RADIUS = 17
+#: Bits of the blocks, and where each begins.
+WIDTHS = (11, 11, 11, 11, 10, 10)
+BLOCKS, STARTS = len(WIDTHS), tuple(sum(WIDTHS[:i]) for i in range(len(WIDTHS)))
+#: About so much of the benchmark's index is held at once: what an item's tables take, and its text's length by a factor.
+INDEX_BYTES, ITEM_BYTES, BYTES_A_CHARACTER = 32 << 20, sum(1 << w for w in WIDTHS) // 8 + 500, 4
 FILTER_BITS = 22
 
 
@@ -69,14 +73,14 @@ class Sized:
     def index(self, radius: int) -> None:
         self.fps = np.array(self.prints, np.uint64)
         most = radius // BLOCKS
-        values = np.arange(1 << BLOCK_BITS, dtype=np.uint64)
-        self.tables = [
-            np.packbits(np.bitwise_count(values[:, None] ^ self.block(self.fps, b)[None, :]) <= most, axis=1) for b in range(BLOCKS)
-        ]
+        self.tables = []
+        for b, width in enumerate(WIDTHS):
+            values = np.arange(1 << width, dtype=np.uint64)
+            self.tables.append(np.packbits(np.bitwise_count(values[:, None] ^ self.block(self.fps, b)[None, :]) <= most, axis=1))
 
     @staticmethod
     def block(fps: np.ndarray, b: int) -> np.ndarray:
-        return (fps >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)
+        return (fps >> np.uint64(STARTS[b])) & np.uint64((1 << WIDTHS[b]) - 1)
 
     def near(self, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """All (window, item) within the radius, through the blocks' tables."""
@@ -100,7 +104,7 @@ class Benchmark:
                 own = shingles(hashes, width)
                 group = self.sized[width, len(own)]
                 group.ids.append(key)
-                group.bags.append(Counter(own.tolist()))
+                group.bags.append(np.unique(own, return_counts=True))
                 group.prints.append(int(pack(signs(own).sum(0)[None])[0]))
                 known[width].append(own)
         self.known = {w: np.unique(np.concatenate(x)) for w, x in known.items()}
@@ -136,8 +140,7 @@ class Benchmark:
                 fps = pack(sums[x - a + n] - sums[x - a])
                 for i, j in zip(*group.near(fps, self.radius), strict=True):
                     start = int(x[i])
-                    bag = Counter(own[start : start + n].tolist())
-                    same = sum((bag & group.bags[j]).values())
+                    same = shared(own[start : start + n], *group.bags[j])
                     alike = same / (2 * n - same)
                     if alike >= self.similarity and alike > best.get(group.ids[j], (0,))[0]:
                         best[group.ids[j]] = (alike, start, int(np.bitwise_count(fps[i] ^ group.fps[j])))
@@ -160,6 +163,27 @@ class Benchmark:
                     yield int(i), item, alike, start, bits
 
 
+def shared(window: np.ndarray, grams: np.ndarray, times: np.ndarray) -> int:
+    """Sum of the smaller counts of a window's shingles and a bag."""
+    at = np.minimum(np.searchsorted(grams, window), len(grams) - 1)
+    found = np.bincount(at[grams[at] == window], minlength=len(grams))
+    return int(np.minimum(found, times).sum())
+
+
+def blocks_of(benchmark: DataFrame, item_col: str, item_text: str, most: int) -> Iterator[list[tuple[object, str]]]:
+    """The benchmark's (item, text) in blocks whose index takes about so many bytes, or one item."""
+    block, size = [], 0
+    for key, text in benchmark.select(item_col, item_text).toLocalIterator():
+        own = ITEM_BYTES + BYTES_A_CHARACTER * len(text or "")
+        if block and size + own > most:
+            yield block
+            block, size = [], 0
+        block.append((key, text))
+        size += own
+    if block:
+        yield block
+
+
 def runs(starts: np.ndarray, n: int, most: int = 4096) -> list[np.ndarray]:
     """Window starts in runs less than n apart, at most so many together."""
     parts = np.split(starts, np.flatnonzero(np.diff(starts) >= n) + 1) if len(starts) else []
@@ -176,7 +200,7 @@ def contaminated(
     shingle: int = SHINGLE,
     similarity: float = SIMILARITY,
     radius: int = RADIUS,
-    items_a_block: int = ITEMS_A_BLOCK,
+    index_bytes: int = INDEX_BYTES,
 ) -> DataFrame:
     """(id, item, similarity, start_word, bits): each document's best window for each item that it holds. No shuffle."""
     spark = docs.sparkSession
@@ -185,11 +209,10 @@ def contaminated(
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, similarity double, start_word long, bits int"
     out = spark.createDataFrame([], schema)
-    items = benchmark.select(item_col, item_text).toLocalIterator()
-    for k, block in enumerate(batched(((r[0], r[1]) for r in items), items_a_block)):
-        shared = spark.sparkContext.broadcast(Benchmark(list(block), shingle, similarity, radius))
+    for k, block in enumerate(blocks_of(benchmark, item_col, item_text, index_bytes)):
+        index = spark.sparkContext.broadcast(Benchmark(block, shingle, similarity, radius))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=index) -> Iterator[pa.RecordBatch]:
             held = shared.value
             for batch in batches:
                 found = [(i + j, *x) for i, part in chunks(batch.column(1).to_pylist()) for j, *x in held.scan(part)]
@@ -208,11 +231,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     at = docs.columns.index(text_col)
-    items = benchmark.select(item_col, item_text).toLocalIterator()
-    for block in batched(((r[0], r[1]) for r in items), ITEMS_A_BLOCK):
-        shared = spark.sparkContext.broadcast(Benchmark(list(block), SHINGLE, SIMILARITY, RADIUS))
+    for block in blocks_of(benchmark, item_col, item_text, INDEX_BYTES):
+        index = spark.sparkContext.broadcast(Benchmark(block, SHINGLE, SIMILARITY, RADIUS))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = {i + j for i, part in chunks(batch.column(at).to_pylist()) for j, *_ in shared.value.scan(part)}
                 yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)])) if found else batch
