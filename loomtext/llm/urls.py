@@ -6,8 +6,9 @@ MANY branches or more, those whose labels don't differ from the other branches'
 `*`. A template's purity is its share of good labels, smoothed towards its host's, and that towards the whole table's;
 templates under PURITY are rejected. Fixed rules come first: the longest that fits a url decides.
 
-Every level is a table in the shared folder; nodes are aggregated with map-side partial sums and joined back, so a host
-that has a third of the pages is split like any skewed join.
+Every level is a table in the shared folder; nodes are aggregated with map-side partial sums and joined back. Keys with
+very many rows, such as a host that has a third of the pages, are joined by a broadcast list: there are at most MOST_HOT of them,
+since each has more than a MOST_HOT-th of the rows. A segment's own `*` and backslash are written with a backslash before.
 
 Defined results: a null url or one without `://` has empty host and path and is judged by that template; unlabelled
 templates take their host's smoothed purity; labels without a page are unused, and several labels of a page all count;
@@ -32,6 +33,8 @@ RULES = [
 #: Levels of a tree; what follows is one last segment.
 DEPTH = 8
 VARIED, MANY, Z = 3, 12, 1.64
+#: A key is hot with more than this share of the rows (one in so many), and more than HOT_ROWS.
+MOST_HOT, HOT_ROWS = 20_000, 500
 SMOOTHING, PURITY = 4.0, 0.5
 
 
@@ -57,16 +60,24 @@ def _rate(bad, n, towards):
     return (bad + SMOOTHING * towards) / (n + SMOOTHING)
 
 
+def _joined(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, how: str) -> DataFrame:
+    """rows with the facts of their key; facts has a row a key, with `_rows`, how many rows have it, which is dropped."""
+    hot = F.col("_rows") > max(HOT_ROWS, total // MOST_HOT)
+    few, others = F.broadcast(facts.filter(hot).drop("_rows")), facts.filter(~hot).drop("_rows")
+    return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(others, keys, how))
+
+
 def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
     """paths (host, path, n, good, bad), one row each -> the same with template."""
     parts = F.split(F.regexp_replace("path", "^/", ""), "/", depth)
     rows = spill(paths.withColumns({"_parts": F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(parts), "template": F.lit("")}), "tree")
-    levels = rows.agg(F.max(F.size("_parts"))).first()[0] or 0
-    for level in range(levels):
+    levels, total = rows.agg(F.max(F.size("_parts")), F.count(F.lit(1))).first()
+    plain = lambda c: F.regexp_replace(c, r"([*\\])", r"\\$1")
+    for level in range(levels or 0):
         rows = rows.withColumn("_part", F.get("_parts", F.lit(level)))
         rows = rows.withColumn("_shape", F.regexp_replace("_part", "[0-9]+", "#"))
         shapes = rows.filter("_part is not null").groupBy("host", "template", "_shape").agg(
-            F.count_distinct("_part").alias("_values"), F.sum("good").alias("_good"), F.sum("bad").alias("_bad")
+            F.count_distinct("_part").alias("_values"), F.count(F.lit(1)).alias("_rows"), F.sum("good").alias("_good"), F.sum("bad").alias("_bad")
         )
         nodes = shapes.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_branches"), F.sum("_good").alias("_all_good"), F.sum("_bad").alias("_all_bad"))
         seen, other = F.col("_good") + F.col("_bad"), F.col("_all_good") + F.col("_all_bad") - F.col("_good") - F.col("_bad")
@@ -74,9 +85,9 @@ def templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
         gap = _rate(F.col("_bad"), seen, p) - _rate(F.col("_all_bad") - F.col("_bad"), other, p)
         z = F.abs(gap) / F.sqrt(p * (1 - p) * (1 / (seen + SMOOTHING) + 1 / (other + SMOOTHING)))
         alike = (F.col("_branches") >= MANY) & (z < Z)
-        merged = shapes.join(nodes, ["host", "template"]).select("host", "template", "_shape", (F.col("_values") >= VARIED).alias("_varied"), alike.alias("_alike"))
-        name = F.when(F.col("_alike"), "*").when(F.col("_varied"), F.col("_shape")).otherwise(F.col("_part"))
-        rows = rows.join(merged, ["host", "template", "_shape"], "left")
+        merged = shapes.join(nodes, ["host", "template"]).select("host", "template", "_shape", "_rows", (F.col("_values") >= VARIED).alias("_varied"), alike.alias("_alike"))
+        name = F.when(F.col("_alike"), "*").when(F.col("_varied"), plain("_shape")).otherwise(plain("_part"))
+        rows = _joined(rows, merged, ["host", "template", "_shape"], total, "left")
         grown = F.when(F.col("_part").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name))
         rows = spill(rows.withColumn("template", grown).drop("_part", "_shape", "_varied", "_alike"), "tree")
     return rows.drop("_parts")
@@ -103,10 +114,12 @@ def filter_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", ur
     counted = urls.join(marks, "id", "left").groupBy("host", "path")
     paths = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     placed = templates(paths)
-    judged = judge_templates(placed).select("host", "template", "purity", F.col("verdict").alias("_verdict"))
-    known = placed.select("host", "path", "template").join(judged, ["host", "template"])
+    sizes = placed.groupBy("host", "template").agg(F.count(F.lit(1)).alias("_rows"))
+    judged = judge_templates(placed).select("host", "template", "purity", F.col("verdict").alias("_verdict")).join(sizes, ["host", "template"])
+    known = _joined(placed.select("host", "path", "template", F.col("n").alias("_n")), judged, ["host", "template"], placed.count(), "inner")
     fixed = rule_of(F.col("host"), F.col("path"), rules)
-    out = urls.join(known, ["host", "path"]).withColumn("_rule", fixed)
+    facts = spill(known.withColumnRenamed("_n", "_rows"), "judged")
+    out = _joined(urls, facts, ["host", "path"], urls.count(), "inner").withColumn("_rule", fixed)
     return out.select("id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", "_verdict").alias("verdict"), "template", "purity")
 
 
