@@ -4,7 +4,8 @@ A key's walk of jumps depends on the key and the shard count alone; with one mor
 where it is or goes to the new one, so only 1/(n+1) of the rows move.
 
 Defined results: a null key hashes like one fixed key; a null or empty text counts no bytes; repeated rows
-get slots of their own; an empty table gives an empty result; columns that aren't asked for are left alone.
+get slots of their own; an empty table gives an empty result; columns with the names of the results are replaced, others left alone, and rows
+with a null shard are a shard.
 """
 
 from __future__ import annotations
@@ -63,20 +64,20 @@ def number_slots(rows: DataFrame, shard: str = "shard", slot: str = "slot", rows
     Equal rows are counted first; the others are dealt into buckets by hash, numbered within their bucket, and moved
     up by the sizes of the buckets before. Only bucket sizes meet in one place.
     """
-    cols = rows.columns
-    kept = Spilled(rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")), "slots").df
-    total, shards = kept.agg(F.sum("_n"), F.count_distinct(shard)).first()
+    row = rows.select(F.struct(*rows.columns).alias("row"))  # so that no name of a column matters
+    kept = Spilled(row.groupBy("row").agg(F.count(F.lit(1)).alias("n")), "slots").df.withColumn("shard", F.col("row")[shard])
+    total, shards = kept.agg(F.sum("n"), F.count_distinct("shard")).first()
     buckets = max(1, (total or 0) // (rows_a_bucket * max(1, shards)))
-    kept = kept.withColumn("_bucket", F.pmod(F.xxhash64(*cols), F.lit(buckets)))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = kept.groupBy(shard, "_bucket").agg(F.sum("_n").alias("_size"))
-    first = sizes.select(shard, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy(shard, "_bucket").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
-    placed = kept.join(first, [shard, "_bucket"]).withColumn("_first", F.col("_first") + F.coalesce(F.sum("_n").over(within), F.lit(0)))
-    blocks = placed.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(REPEAT_BLOCK).cast("long"))))
-    upto = F.least(F.col("_from") + REPEAT_BLOCK, F.col("_n")) - 1
-    each = blocks.withColumn("_k", F.explode(F.sequence(F.col("_from"), upto)))
-    return each.select(*cols, (F.col("_first") + F.col("_k")).alias(slot))
+    kept = kept.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = kept.groupBy("shard", "bucket").agg(F.sum("n").alias("size"))
+    first = sizes.select("shard", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("shard", "bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = kept.join(first, kept["shard"].eqNullSafe(first["shard"]) & (kept["bucket"] == first["bucket"])).select(kept["*"], "first").withColumn("first", F.col("first") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    blocks = placed.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(REPEAT_BLOCK).cast("long"))))
+    upto = F.least(F.col("from") + REPEAT_BLOCK, F.col("n")) - 1
+    each = blocks.withColumn("k", F.explode(F.sequence(F.col("from"), upto)))
+    return each.select(*[F.col("row")[c].alias(c) for c in rows.columns if c != slot], (F.col("first") + F.col("k")).alias(slot))
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard", files_a_shard: int = 1) -> None:
