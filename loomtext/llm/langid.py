@@ -5,9 +5,9 @@ edge, and its last three letters) and of its entry in the lexicon (whole words s
 join neighbouring words. Forward-backward gives each word's exact label probabilities; a document's language is the
 label with the largest mean probability.
 
-Training takes a bounded sample of labelled rows (SAMPLE_A_LABEL documents of each label, about), cuts it into word
+Training takes a bounded sample of labelled rows (SAMPLE_A_LABEL documents of each label, about, of at most TRAIN_BYTES each), cuts it into word
 sequences, splices half of them from several documents so that switches occur, and climbs the log-likelihood.
-Prediction reads whole texts and only the text.
+Prediction reads whole texts and only the text. Every label is learned; the model takes about 1 MB for each.
 
 Defined results: null text or text without a letter: `und`, score 0; a table without labels: `und` for all; null ids
 are kept and aren't held out; repeated rows get equal results; other columns aren't read.
@@ -30,8 +30,8 @@ from loomtext.llm.vector_text import Words, chunks
 UNKNOWN = "und"
 #: About so many documents of each label are sampled for training, by hash.
 SAMPLE_A_LABEL = 120
-#: Training stops taking more labels than this (the most frequent are learned).
-MOST_LABELS = 200
+#: Longer texts (in bytes) aren't drawn for training, which bounds what the driver holds; they are predicted like any other.
+TRAIN_BYTES = 1 << 20
 NGRAM_BITS, LEXICON_BITS = 15, 17
 EPOCHS, SEQUENCE, MINIBATCH, RATE = 3, 48, 64, 0.25
 #: Words of a block of the exact block-wise forward-backward pass.
@@ -248,9 +248,9 @@ def fit(df: DataFrame, sample: int = SAMPLE_A_LABEL) -> Crf | None:
 
     Copies of a text count once, so that a large group of them neither fills the sample nor thins out its label.
     """
-    labelled = df.filter("text is not null and lang is not null")
+    labelled = df.filter("text is not null and lang is not null").filter(F.octet_length("text") <= TRAIN_BYTES)
     counted = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("text").alias("texts"))
-    sizes = counted.orderBy(F.desc("n"), "lang").limit(MOST_LABELS).collect()
+    sizes = counted.orderBy(F.desc("n"), "lang").collect()
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], sample / max(1, r["texts"]))])
