@@ -11,7 +11,7 @@
 Archives lie in the shared folder and are named anew by each attempt; only those that a finished task reported are read,
 so lost executors leave nothing behind but scratch files.
 
-Defined results: null payload: empty; payloads under MIN_REVISIT bytes are always responses; null ids come last among
+Defined results: null payload: empty; payloads under MIN_REVISIT bytes are always responses; ids are integers, null ones come last among
 equals; of rows with the same id and payload the one with the smallest url, then archive position, is the response; an
 empty table gives no archive and an empty result; other columns are left alone.
 """
@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from loomtext.llm.common import Spilled, remove, scratch_path, small_batches, table
 
@@ -208,6 +209,8 @@ def write_warc(df: DataFrame, id_col: str, url_col: str, payload_col: str, folde
     """Write deduplicated archives of all rows into the folder; gives the table of their names."""
     spark = df.sparkSession
     small_batches(spark)
+    if not isinstance(df.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column")
     raw = local_uri(scratch_path(spark, "responses"))
     payload = F.col(payload_col).cast("binary") if df.schema[payload_col].dataType.simpleString() != "binary" else F.col(payload_col)
     headers = Spilled(write_responses(df.select(F.col(id_col).cast("long"), F.col(url_col).cast("string"), payload), raw), "headers")
