@@ -1,11 +1,21 @@
 """run() against brute force over the stages' decisions."""
 
+import glob
+import hashlib
+import os
+import re
+from collections import Counter
 
+import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomtext.llm import pieces
-from tests.llm.test_operators import BASE, TEXTS, docs, empty, sf  # noqa: F401
+from loomtext.llm import langid, pieces, pii, queries
+from tests.llm.test_operators import BASE, PATTERNS, TEXTS, brute_contamination, brute_pieces, brute_roots, brute_terms, docs, empty, sf, valid  # noqa: F401
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_stages_keep_columns(spark, docs, sf):  # noqa: F811
@@ -25,5 +35,76 @@ def test_run(spark, sf):  # noqa: F811
     assert texts[9] == dict(TEXTS)[9] and texts[12].endswith("[EMAIL], [PHONE], [CARD], [IP]") and BASE not in texts.values()
 
 
+def brute_run(spark, table, items):
+    """Rows of run() over (doc_id, text, lang, source), stage by stage, without Spark but for the training of the language model."""
+    model = langid.fit(table.filter(~langid.held_out(F.col("doc_id"))))
+    now = []
+    for r in table.select("doc_id", "text", "lang", "source").collect():
+        label, score = model.documents([r["text"] or ""])
+        if label[0] >= 0 and score[0] >= corpus_pipeline.LEAST_LANGUAGE:
+            now.append(r)
+    now.sort(key=lambda r: (r["doc_id"], hashlib.md5(r["text"].encode()).digest()))
+    unlike = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    _, roots = brute_roots([" ".join(re.findall(r"[^\x20\x09-\x0D]+", unlike(r["text"]))) for r in now])
+    first = {}
+    for i, r in enumerate(now):
+        first.setdefault(roots[i], i)
+    now = [r for i, r in enumerate(now) if first[roots[i]] == i]
+    clean = []
+    for r in now:
+        grams = Counter(zip(*[re.findall(r"[^\W_]+", r["text"].lower())[k:] for k in range(5)]))
+        held = False
+        for item in items:
+            wanted = re.findall(r"[^\W_]+", item.lower())
+            own = Counter(zip(*[wanted[k:] for k in range(5)]))
+            if len(wanted) < 5 or sum((own & grams).values()) * 1.8 >= 1.6 * sum(own.values()):  # else no window can reach 0.8
+                held = held or brute_contamination(r["text"], item)[0] >= 0.8
+        if not held:
+            clean.append(r)
+    marked = {t for t, _ in brute_terms([r["text"] for r in clean], pii.SUPPORT, pii.DISCLOSURE)}
+    tokens = pieces.Pieces(pieces.MODEL)
+    for r in clean:
+        spans = [(m.start(), m.end(), f"[{k.upper()}]") for k, p in PATTERNS.items() for m in re.finditer(p, r["text"]) if valid(k, m[0])]
+        for m in re.finditer(r"[^\W_]+", r["text"]):
+            if m[0].lower() in marked:
+                general = re.sub("[0-9]", "#", m[0].lower())
+                spans.append((m.start(), m.end(), general if general not in marked and general != m[0].lower() else ""))
+        text, at = "", 0
+        for a, b, new in sorted(spans, key=lambda x: (x[0], -x[1])):
+            if a >= at:
+                text += r["text"][at:a] + new
+            at = max(at, b)
+        text += r["text"][at:]
+        ids = brute_pieces(tokens, text, tokens.key(text))
+        yield r["doc_id"], r["lang"], r["source"], len(ids), tuple(ids), True
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    table = spark.read.parquet(f"{SMALL}/documents.parquet").filter("n_chars < 6000")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SMALL}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    got = Counter((r["doc_id"], r["lang"], r["source"], r["n_pieces"], tuple(r["ids"]), r["lossless"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    want = Counter(brute_run(spark, table, items))
+    assert got == want and 50 < len(want) < table.count()
+
+
+def test_language_without_labels(spark):
+    df = spark.createDataFrame([(1, "words", None), (2, "123", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, df, "").collect()] == [1]
+
+
 def test_empty(spark, empty):  # noqa: F811
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_sql(spark, name):
+    got = queries.QUERIES[name](spark, SMALL)
+    db = duckdb.connect()
+    for f in glob.glob(f"{SMALL}/*.parquet"):
+        db.sql(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    want = db.sql(queries.ORACLE_SQL[name])
+    order = [want.columns.index(c) for c in sorted(want.columns)]
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(str([r[c] for c in sorted(got.columns)]) for r in got.collect()) == sorted(str([r[i] for i in order]) for r in want.fetchall())
