@@ -1,10 +1,11 @@
-"""The operators' queries by name, and their SQL where SQL can express them."""
+"""The operators' queries by name, and their SQL where SQL can express them (models, keyed hashes and iteration are beyond it)."""
 
 from __future__ import annotations
 
 from loomtext.llm.audio import op5_audio
 from loomtext.llm.decontaminate import op7_decontaminate
 from loomtext.llm.langid import op3_langid
+from loomtext.llm.oracles import ORACLE_SQL
 from loomtext.llm.pieces import op10_pieces
 from loomtext.llm.pii import op8_pii
 from loomtext.llm.repeats import op9_repeats
@@ -13,6 +14,8 @@ from loomtext.llm.simhash import op6_simhash
 from loomtext.llm.urls import op1_urls
 from loomtext.llm.warc import op4_warc
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_url_templates": op1_urls,
     "op2_jump_shards": op2_sharding,
@@ -25,19 +28,3 @@ QUERIES = {
     "op9_bwt_repeats": op9_repeats,
     "op10_merge_dropout": op10_pieces,
 }
-
-#: Digests, models and iteration are beyond SQL in the others; the WARC query's answer is a window over the pages.
-ORACLE_SQL = {
-    "op4_warc_revisits": """
-        WITH p AS (
-            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
-            FROM pages
-        ), q AS (
-            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
-        )
-        SELECT page_id, payload_bytes, payload_digest,
-               CASE WHEN payload_bytes < 100 OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
-        FROM q
-    """,
-}

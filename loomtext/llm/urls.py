@@ -34,7 +34,7 @@ RULES = [
 DEPTH = 8
 VARIED, MANY, Z = 3, 12, 1.64
 #: A key is hot with more than this share of the rows (one in so many), and more than HOT_ROWS.
-MOST_HOT, HOT_ROWS = 20_000, 500
+MOST_HOT, HOT_ROWS = 20_000, 1000
 SMOOTHING, PURITY = 4.0, 0.5
 
 
@@ -62,6 +62,8 @@ def _rate(bad, n, towards):
 
 def _joined(rows: DataFrame, facts: DataFrame, keys: list[str], total: int, how: str) -> DataFrame:
     """rows with the facts of their key; facts has a row a key, with `_rows`, how many rows have it, which is dropped."""
+    if total <= HOT_ROWS:
+        return rows.join(facts.drop("_rows"), keys, how)
     hot = F.col("_rows") > max(HOT_ROWS, total // MOST_HOT)
     few, others = F.broadcast(facts.filter(hot).drop("_rows")), facts.filter(~hot).drop("_rows")
     return rows.join(few, keys).unionByName(rows.join(few.select(*keys), keys, "left_anti").join(others, keys, how))

@@ -649,7 +649,7 @@ def brute_templates(paths):
     return made
 
 
-@pytest.mark.parametrize("hot", [2, 500])
+@pytest.mark.parametrize("hot", [2, 5000])
 def test_url_templates_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(urls, "HOT_ROWS", hot)
     r = random.Random(4)

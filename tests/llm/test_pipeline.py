@@ -108,3 +108,15 @@ def test_sql(spark, name):
     order = [want.columns.index(c) for c in sorted(want.columns)]
     assert sorted(want.columns) == sorted(got.columns)
     assert sorted(str([r[c] for c in sorted(got.columns)]) for r in got.collect()) == sorted(str([r[i] for i in order]) for r in want.fetchall())
+
+
+def test_disclosure_sql_with_terms(spark, tmp_path):
+    """Tables where terms do disclose: spans of both kinds as by SQL."""
+    texts = [f"word{i} other filler{i}" for i in range(200)] + [f"case{i} Zorblax é a.b@x.org room417 item{i} +49 170 1234567" for i in range(6)] + ["the zorblax agent in room417", None, "", "10.0.0.1 4111 1111 1111 1111"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op8_disclosure_pii"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(queries.ORACLE_SQL["op8_disclosure_pii"])
+    found = sorted(str([r[c] for c in want.columns]) for r in got.collect())
+    assert found == sorted(str(list(r)) for r in want.fetchall()) and sum("term:" in x for x in found) == 7
