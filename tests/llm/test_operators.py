@@ -574,6 +574,21 @@ def test_decontamination_against_brute_force(spark):
     assert set(usual) <= set(want) and len(usual) >= 0.95 * len(want)
 
 
+def test_decontamination_in_runs_of_windows(spark, monkeypatch):
+    """A text that is all benchmark passages has more windows than a run: cut runs find the same."""
+    item = prose(60, 41)
+    df = spark.createDataFrame([(1, " ".join([item] * 40)), (2, prose(500, 42) + " " + item)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, " ".join(item.split()[:30]))], "item_id long, text string")
+    assert len(decontaminate.contaminated(df, bench).collect()) == 4
+    held = decontaminate.Benchmark([(r["item_id"], r["text"]) for r in bench.collect()], 5, 0.8, 17)
+    texts = [r["text"] for r in df.collect()]
+    whole = sorted(held.scan(texts))
+    found = decontaminate.runs(np.arange(100), 5, 7)
+    assert np.concatenate(found).tolist() == list(range(100)) and max(map(len, found)) == 7
+    monkeypatch.setattr(decontaminate.runs, "__defaults__", (16,))
+    assert sorted(held.scan(texts)) == whole and len(whole) == 4
+
+
 def test_decontamination_index_prunes():
     g = np.random.default_rng(3)
     group = decontaminate.Sized(prints=[int(x) for x in g.integers(0, 1 << 64, 500, np.uint64)])
@@ -681,8 +696,16 @@ def test_session_keeps_its_batch_size(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
-def test_repeats_of_long_texts_leave_no_table(spark, monkeypatch):
+def test_anchors_of_long_texts(monkeypatch):
+    """A text anchored in pieces has the anchors of the whole: every string's is the same."""
+    text = (prose(300, 2) + "ab" * 90 + prose(100, 2)).encode()
+    each = lambda: np.concatenate([np.repeat(h, c) for h, _, c in repeats.anchors(text, 24, 7)])
+    whole = each()
     monkeypatch.setattr(repeats, "PIECE", 90)
+    assert (each() == whole).all() and len(whole) == len(text) - 23
+
+
+def test_repeats_leave_no_table(spark):
     texts = [prose(60, 1) + " " + prose(40, s) for s in range(5)] + ["ab" * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(repeats.without_repeats(df, length=24, gram=7))}
