@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import pii, urls
+from loomtext.llm import decontaminate, pii, urls
 
 WARC = """
     WITH p AS (
@@ -117,4 +117,19 @@ def disclosure() -> str:
     """
 
 
-ORACLE_SQL = {"op1_url_templates": url_templates(), "op4_warc_revisits": WARC, "op8_disclosure_pii": disclosure(), "op9_bwt_repeats": REPEATS}
+#: Every window that holds a benchmark shingle, so no fingerprint is needed; what lies outside the SimHash's radius would be in here alone.
+CONTAMINATION = f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL),
+    b AS (SELECT row_number() OVER () AS b, item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM benchmark WHERE text IS NOT NULL),
+    i AS MATERIALIZED (SELECT *, least({decontaminate.SHINGLE}, len(ws)) AS w, len(ws) - least({decontaminate.SHINGLE}, len(ws)) + 1 AS n FROM b WHERE len(ws) > 0),
+    g AS MATERIALIZED (SELECT b, w, n, gram, count(*) AS c FROM (SELECT b, w, n, array_to_string(ws[k:k + w - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM i)) GROUP BY ALL),
+    x AS (SELECT r, w, len(ws) - w + 1 AS l, k - 1 AS p, array_to_string(ws[k:k + w - 1], ' ') AS gram
+          FROM (SELECT *, unnest(range(1, len(ws) - w + 2)) AS k FROM d, (SELECT DISTINCT w FROM i) WHERE len(ws) >= w)),
+    h AS MATERIALIZED (SELECT r, b, n, l, p, gram, c FROM x JOIN g USING (w, gram)),
+    s AS (SELECT *, unnest(range(greatest(0, p - n + 1), least(p, l - n) + 1)) AS s FROM h),
+    m AS (SELECT r, b, n, s, sum(same) AS same FROM (SELECT r, b, n, s, gram, least(count(*), any_value(c)) AS same FROM s GROUP BY r, b, n, s, gram) GROUP BY r, b, n, s),
+    f AS (SELECT r, b, s, same / (2 * n - same) AS alike FROM m WHERE same / (2 * n - same) >= {decontaminate.SIMILARITY} QUALIFY row_number() OVER (PARTITION BY r, b ORDER BY alike DESC, s) = 1)
+    SELECT doc_id, item_id, round(alike, 6) AS similarity, s AS start_word FROM f JOIN d USING (r) JOIN i USING (b)
+"""
+
+ORACLE_SQL = {"op1_url_templates": url_templates(), "op4_warc_revisits": WARC, "op7_decontamination": CONTAMINATION, "op8_disclosure_pii": disclosure(), "op9_bwt_repeats": REPEATS}
