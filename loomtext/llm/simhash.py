@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import nearcopies
-from loomtext.llm.common import Spilled, small_batches, spill, table
+from loomtext.llm.common import arrow_rows, small_batches, spill, table
 from loomtext.llm.components import components
 
 RADIUS = 4
@@ -169,7 +169,7 @@ def link_sorted(ring: Ring, keys: np.ndarray, fps: np.ndarray, own: np.ndarray,
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(a, b): fingerprints within the radius, as forests that span each key's links. distinct has one column fp."""
+    """(a, b): fingerprints within the radius, as forests that span each key's links; a table. distinct has one column fp."""
     ring = Ring(radius)
     spark = distinct.sparkSession
 
@@ -206,31 +206,32 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
         out = link_sorted(ring, key.astype(np.int64), fp.astype(np.int64).view(np.uint64), own.astype(bool), np.cumsum(changed)).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
-    rows = distinct.mapInArrow(lay_out, "key long, fp long, own boolean")
-    counted = distinct.mapInArrow(own_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-    large = spill(counted.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-keys")
-    many = large.count()
-    if many:
-        large = F.broadcast(large) if many <= BROADCAST_KEYS else large
-        rows = rows.join(large, "key", "left")
-        mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(mine, j) * F.col("blocks") + F.greatest(mine, j))
-        rows = rows.withColumn("cell", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(cells)))
-    else:
-        rows = rows.withColumn("cell", F.lit(0))
-    dealt = rows.select("key", "cell", "fp", "own").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return dealt.mapInArrow(link, "a long, b long")
+    def linked() -> DataFrame:
+        rows = distinct.mapInArrow(lay_out, "key long, fp long, own boolean")
+        counted = distinct.mapInArrow(own_keys, "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+        large = spill(counted.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large-keys")
+        many = large.count()
+        if many:
+            large = F.broadcast(large) if many <= BROADCAST_KEYS else large
+            rows = rows.join(large, "key", "left")
+            mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+            cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(mine, j) * F.col("blocks") + F.greatest(mine, j))
+            rows = rows.withColumn("cell", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(cells)))
+        else:
+            rows = rows.withColumn("cell", F.lit(0))
+        dealt = rows.select("key", "cell", "fp", "own").repartition("key", "cell").sortWithinPartitions("key", "cell")
+        return dealt.mapInArrow(link, "a long, b long")
+
+    with arrow_rows(spark, 20_000):
+        return spill(linked(), "links")
 
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(id, fp, component): every row's fingerprint and the smallest id that it reaches."""
     rows = spill(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    edges = Spilled(links(distinct.select("fp"), radius), "links")
-    roots = components(edges.df).withColumnsRenamed({"node": "fp"})
-    nodes = Spilled(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "nodes").df
-    edges.drop()
+    roots = components(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp"})
+    nodes = spill(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "nodes")
     named = nodes.select("fp", "root").join(nodes.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "root", "component")
     return rows.join(named, "fp").select("id", "hash", "fp", "root", "component")
 
@@ -244,17 +245,37 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hex_fingerprint(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+#: Rows to be dropped are named by a broadcast list only when it was counted to be at most this long; more are joined by shuffle.
+BROADCAST_LOSERS = 200_000
+
+
 def drop_near_copies(df: DataFrame, shingle: int = nearcopies.SHINGLE, similarity: float = nearcopies.SIMILARITY) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id, then the smallest text hash.
+    """One document of each group of near copies stays: that with the smallest doc_id, then the smallest text digest.
 
-    Links are exact: texts whose sets of shingles are similar; see nearcopies.
+    Links are exact: texts whose sets of shingles are similar; see nearcopies. The choice is made on ids and digests alone; of the
+    documents, only those that go are looked up.
 
     Documents with a null doc_id lose to others; of rows that repeat the kept one, one stays.
     """
-    roots = nearcopies.near_copy_roots(df, shingle=shingle, similarity=similarity).withColumnRenamed("node", "hash")
-    found = df.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")).join(roots, "hash", "left").withColumn("root", F.coalesce("root", "hash"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
-    winners = found.groupBy("root").agg(first).select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash"))
-    keyed = df.withColumn("_loomtext_key", F.xxhash64("doc_id", "text"))
-    same = keyed["doc_id"].eqNullSafe(winners["_id"]) & F.xxhash64(keyed["text"]).eqNullSafe(winners["_hash"])
-    return keyed.join(winners, same, "left_semi").dropDuplicates(["_loomtext_key"]).drop("_loomtext_key")
+    rows = df.select(F.col("doc_id").alias("id"), nearcopies.digest(F.col("text")).alias("node"))
+    rows = spill(rows.groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")), "rows")
+    roots = nearcopies.near_copy_roots(df, shingle=shingle, similarity=similarity)
+    named = spill(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("first")
+    winners = named.groupBy("root").agg(first).select(F.col("first.id").alias("_id"), F.col("first.node").alias("_node"))
+    won = named["id"].eqNullSafe(winners["_id"]) & (named["node"] == winners["_node"])
+    losers = spill(named.join(winners, won, "left_anti").select("id", "node"), "losers")
+    again = spill(named.filter("n > 1").join(winners, won, "left_semi").select("id", "node"), "again")
+    kept = _picked(df, losers.union(again), "left_anti")
+    if again.isEmpty():
+        return kept
+    keyed = _picked(df, again, "left_semi").withColumn("_node", nearcopies.digest(F.col("text")))
+    return kept.union(keyed.dropDuplicates(["doc_id", "_node"]).drop("_node"))
+
+
+def _picked(df: DataFrame, named: DataFrame, how: str) -> DataFrame:
+    """The rows of df that the table (id, node) names, or (left_anti) the others."""
+    named = named.select(F.col("id").alias("_id"), F.col("node").alias("_named"))
+    named = F.broadcast(named) if named.count() <= BROADCAST_LOSERS else named
+    keyed = df.withColumn("_digest", nearcopies.digest(F.col("text")))
+    return keyed.join(named, keyed["doc_id"].eqNullSafe(named["_id"]) & (keyed["_digest"] == named["_named"]), how).select(*[keyed[c] for c in df.columns])
