@@ -16,10 +16,12 @@ LEAST_LANGUAGE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language stay; the model learns from the labelled documents that aren't held out."""
+    """Documents in a known language stay; the model learns from the labelled documents that aren't held out. Without any label, those with a letter stay."""
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    if not model:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     found = langid.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select("row.*") if model else docs
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE)).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
