@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import decontaminate, pii, urls
+from loomtext.llm import decontaminate, pii, simhash, urls
 
 WARC = """
     WITH p AS (
@@ -117,6 +117,62 @@ def disclosure() -> str:
     """
 
 
+def simhash_components() -> str:
+    """XXH64 of every shingle, majorities of its bits, and what is reached by links over all pairs."""
+    # Fixed values of the hash: its five primes.
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    whole, seed, names = "18446744073709551616::UHUGEINT", simhash.SEED, iter(range(1 << 20))
+    big = lambda n: f"{n % (1 << 64)}::UHUGEINT"
+
+    def bound(value: str, body) -> str:  # a value that is used twice
+        name = f"v{next(names)}"
+        return f"list_transform([{value}], lambda {name}: {body(name)})[1]"
+
+    add = lambda a, b: f"(({a} + {b}) % {whole})"
+    times = lambda a, n: f"(({a} * {big(n)}) % {whole})"
+    turn = lambda x, k: bound(x, lambda v: f"(({v} * {1 << k}::UHUGEINT) % {whole} + {v} // {1 << (64 - k)}::UHUGEINT)")
+    step = lambda acc, lane: times(turn(add(acc, times(lane, p2)), 31), p1)
+    shift = lambda x, k: bound(x, lambda v: f"xor({v}, {v} // {1 << k}::UHUGEINT)")
+
+    def lane(at: str, n: int) -> str:
+        kind = {8: "UBIGINT", 4: "UINTEGER", 1: "UTINYINT"}[n]
+        return "(" + " || ".join(f"array_slice(s, {at} + {k}, {at} + {k})" for k in range(n, 0, -1)) + f")::BIT::{kind}::UHUGEINT"
+
+    merged = lambda h, v: add(times(f"xor({h}, {step(big(0), v)})", p1), big(p4))
+    joined = add(add(turn("a", 1), turn("b", 7)), add(turn("c", 12), turn("d", 18)))
+    for v in "abcd":
+        joined = merged(joined, v)
+    eight = add(times(turn(f"xor(h, {step(big(0), lane('o', 8))})", 27), p1), big(p4))
+    four = add(times(turn(f"xor(h, {times(lane('o', 4), p1)})", 23), p2), big(p3))
+    one = times(turn(f"xor(h, {times(lane('o', 1), p5)})", 11), p1)
+    last = shift(times(shift(times(shift("h", 33), p2), 29), p3), 32)
+    words = r"[^\x20\x09-\x0D]+"
+    return f"""
+    WITH RECURSIVE t AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{words}') AS ws FROM documents),
+    k AS MATERIALIZED (
+        SELECT r, encode(array_to_string(ws[i:i + {simhash.SHINGLE - 1}], ' ')) AS s
+        FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - {simhash.SHINGLE - 1}) + 1)) AS i FROM t WHERE len(ws) > 0)),
+    z AS MATERIALIZED (SELECT DISTINCT s FROM k),
+    x AS (
+        SELECT s, octet_length(s) AS n, 0 AS o, {big(seed + p1 + p2)} AS a, {big(seed + p2)} AS b, {big(seed)} AS c, {big(seed - p1)} AS d FROM z
+        UNION ALL
+        SELECT s, n, o + 32, {step("a", lane("o", 8))}, {step("b", lane("(o + 8)", 8))}, {step("c", lane("(o + 16)", 8))}, {step("d", lane("(o + 24)", 8))} FROM x WHERE o + 32 <= n),
+    y AS (
+        SELECT s, n, o, (CASE WHEN n >= 32 THEN {joined} ELSE {big(seed + p5)} END + n::UHUGEINT) % {whole} AS h FROM x WHERE o + 32 > n
+        UNION ALL
+        SELECT s, n, CASE WHEN o + 8 <= n THEN o + 8 WHEN o + 4 <= n THEN o + 4 ELSE o + 1 END, CASE WHEN o + 8 <= n THEN {eight} WHEN o + 4 <= n THEN {four} ELSE {one} END FROM y WHERE o < n),
+    h AS MATERIALIZED (SELECT s, {last} AS h FROM y WHERE o = n),
+    b AS (SELECT r, count(*) AS n, {", ".join(f"count(*) FILTER ((h // {1 << i}::UHUGEINT) % 2 = 1) AS b{i}" for i in range(64))} FROM k JOIN h USING (s) GROUP BY r),
+    f AS MATERIALIZED (SELECT t.r, doc_id, ({" + ".join(f"CASE WHEN 2 * coalesce(b{i}, 0) > n THEN {1 << i}::UHUGEINT ELSE 0::UHUGEINT END" for i in range(64))})::UBIGINT AS fp FROM t LEFT JOIN b ON t.r = b.r),
+    p AS MATERIALIZED (SELECT DISTINCT fp FROM f),
+    e AS MATERIALIZED (SELECT p.fp AS a, q.fp AS b FROM p, p q WHERE bit_count(xor(p.fp, q.fp)) <= {simhash.RADIUS} AND p.fp <> q.fp),
+    w AS (SELECT fp AS a, fp AS b FROM p UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a),
+    m AS (SELECT w.a, min(doc_id) AS component_id FROM w JOIN f ON w.b = f.fp GROUP BY w.a)
+    SELECT doc_id, format('{{:016x}}', fp) AS fingerprint, component_id FROM f JOIN m ON f.fp = m.a
+    """
+
+
 #: Every window that holds a benchmark shingle, so no fingerprint is needed; what lies outside the SimHash's radius would be in here alone.
 CONTAMINATION = f"""
     WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents WHERE text IS NOT NULL),
@@ -132,4 +188,4 @@ CONTAMINATION = f"""
     SELECT doc_id, item_id, round(alike, 6) AS similarity, s AS start_word FROM f JOIN d USING (r) JOIN i USING (b)
 """
 
-ORACLE_SQL = {"op1_url_templates": url_templates(), "op4_warc_revisits": WARC, "op7_decontamination": CONTAMINATION, "op8_disclosure_pii": disclosure(), "op9_bwt_repeats": REPEATS}
+ORACLE_SQL = {"op1_url_templates": url_templates(), "op4_warc_revisits": WARC, "op6_pigeonring_simhash": simhash_components(), "op7_decontamination": CONTAMINATION, "op8_disclosure_pii": disclosure(), "op9_bwt_repeats": REPEATS}
