@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomtext.llm import decontaminate, pii, simhash, urls
+from loomtext.llm import decontaminate, pii, sharding, simhash, urls
 
 WARC = """
     WITH p AS (
@@ -117,35 +117,94 @@ def disclosure() -> str:
     """
 
 
-def simhash_components() -> str:
-    """XXH64 of every shingle, majorities of its bits, and what is reached by links over all pairs."""
-    # Fixed values of the hash: its five primes.
-    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
-    whole, seed, names = "18446744073709551616::UHUGEINT", simhash.SEED, iter(range(1 << 20))
-    big = lambda n: f"{n % (1 << 64)}::UHUGEINT"
+class _Xx64:
+    """XXH64 in SQL, on UHUGEINT values below 2 to the 64; five fixed primes."""
+
+    P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    WHOLE = "18446744073709551616::UHUGEINT"
 
-    def bound(value: str, body) -> str:  # a value that is used twice
-        name = f"v{next(names)}"
+    def __init__(self):
+        self.names = iter(range(1 << 20))
+
+    def bound(self, value: str, body) -> str:
+        """body of a value that is used twice."""
+        name = f"v{next(self.names)}"
         return f"list_transform([{value}], lambda {name}: {body(name)})[1]"
 
-    add = lambda a, b: f"(({a} + {b}) % {whole})"
-    times = lambda a, n: f"(({a} * {big(n)}) % {whole})"
-    turn = lambda x, k: bound(x, lambda v: f"(({v} * {1 << k}::UHUGEINT) % {whole} + {v} // {1 << (64 - k)}::UHUGEINT)")
-    step = lambda acc, lane: times(turn(add(acc, times(lane, p2)), 31), p1)
-    shift = lambda x, k: bound(x, lambda v: f"xor({v}, {v} // {1 << k}::UHUGEINT)")
+    def big(self, n: int) -> str:
+        return f"{n % (1 << 64)}::UHUGEINT"
+
+    def add(self, a: str, b: str) -> str:
+        return f"(({a} + {b}) % {self.WHOLE})"
+
+    def times(self, a: str, n: int) -> str:
+        return f"(({a} * {self.big(n)}) % {self.WHOLE})"
+
+    def turn(self, x: str, k: int) -> str:
+        return self.bound(x, lambda v: f"(({v} * {1 << k}::UHUGEINT) % {self.WHOLE} + {v} // {1 << (64 - k)}::UHUGEINT)")
+
+    def shift(self, x: str, k: int) -> str:
+        return self.bound(x, lambda v: f"xor({v}, {v} // {1 << k}::UHUGEINT)")
+
+    def step(self, acc: str, lane: str) -> str:
+        return self.times(self.turn(self.add(acc, self.times(lane, self.P2)), 31), self.P1)
+
+    def merged(self, h: str, lane: str) -> str:
+        return self.add(self.times(f"xor({h}, {self.step(self.big(0), lane)})", self.P1), self.big(self.P4))
+
+    def eight(self, h: str, lane: str) -> str:
+        return self.add(self.times(self.turn(f"xor({h}, {self.step(self.big(0), lane)})", 27), self.P1), self.big(self.P4))
+
+    def four(self, h: str, lane: str) -> str:
+        return self.add(self.times(self.turn(f"xor({h}, {self.times(lane, self.P1)})", 23), self.P2), self.big(self.P3))
+
+    def one(self, h: str, lane: str) -> str:
+        return self.times(self.turn(f"xor({h}, {self.times(lane, self.P5)})", 11), self.P1)
+
+    def last(self, h: str) -> str:
+        return self.shift(self.times(self.shift(self.times(self.shift(h, 33), self.P2), 29), self.P3), 32)
+
+
+def jump_shards() -> str:
+    """Keys hashed and walked by jumps, texts summed up byte by byte; slots as of a table that has one bucket a shard (under 1.6 million rows)."""
+    x = _Xx64()
+    key = x.last(x.eight(x.big(simhash.SEED + x.P5 + 8), "k"))
+    table = []
+    for i in range(256):
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    crc = "list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda acc, y: xor(crcs[((xor(acc, y) & 255) + 1)::BIGINT], acc >> 8))"
+    walk = f"""SELECT id, n, (key * {sharding.JUMP_MULTIPLIER}::UHUGEINT + 1) % {x.WHOLE} AS key, j AS b,
+               floor((j + 1) * (2147483648::DOUBLE / (((key * {sharding.JUMP_MULTIPLIER}::UHUGEINT + 1) % {x.WHOLE} // 8589934592::UHUGEINT)::DOUBLE + 1)))::BIGINT AS j"""
+    return f"""
+    WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    i AS (SELECT DISTINCT doc_id AS id, ((doc_id::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT)::UHUGEINT AS k FROM d WHERE doc_id IS NOT NULL),
+    h AS (SELECT id, {key} AS key FROM i UNION ALL SELECT NULL, {simhash.SEED}::UHUGEINT),
+    w AS (SELECT id, n, key, -1::BIGINT AS b, 0::BIGINT AS j FROM h, (VALUES ({sharding.SHARDS}), ({sharding.SHARDS + 1})) AS s(n)
+          UNION ALL {walk} FROM w WHERE j < n),
+    s AS MATERIALIZED (SELECT id, n, b FROM w WHERE j >= n),
+    c AS (SELECT doc_id, n + {sharding.ROW_OVERHEAD} AS size, xor({crc}, 4294967295::UBIGINT)::BIGINT AS text_crc32
+          FROM (SELECT *, {table}::UBIGINT[] AS crcs, list_transform(range(1, n + 1), lambda y: array_slice(t, y, y)::BIT::UTINYINT::UBIGINT) AS bytes FROM d)),
+    a AS (SELECT c.*, s.b::INT AS shard, g.b::INT AS grown_shard FROM c JOIN s ON c.doc_id IS NOT DISTINCT FROM s.id AND s.n = {sharding.SHARDS} JOIN s g ON c.doc_id IS NOT DISTINCT FROM g.id AND g.n = {sharding.SHARDS + 1})
+    SELECT doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard FROM a
+    """
+
+
+def simhash_components() -> str:
+    """XXH64 of every shingle, majorities of its bits, and what is reached by links over all pairs."""
+    x, seed = _Xx64(), simhash.SEED
 
     def lane(at: str, n: int) -> str:
         kind = {8: "UBIGINT", 4: "UINTEGER", 1: "UTINYINT"}[n]
         return "(" + " || ".join(f"array_slice(s, {at} + {k}, {at} + {k})" for k in range(n, 0, -1)) + f")::BIT::{kind}::UHUGEINT"
 
-    merged = lambda h, v: add(times(f"xor({h}, {step(big(0), v)})", p1), big(p4))
-    joined = add(add(turn("a", 1), turn("b", 7)), add(turn("c", 12), turn("d", 18)))
+    big, step, whole = x.big, x.step, x.WHOLE
+    p1, p2, p5 = x.P1, x.P2, x.P5
+    joined = x.add(x.add(x.turn("a", 1), x.turn("b", 7)), x.add(x.turn("c", 12), x.turn("d", 18)))
     for v in "abcd":
-        joined = merged(joined, v)
-    eight = add(times(turn(f"xor(h, {step(big(0), lane('o', 8))})", 27), p1), big(p4))
-    four = add(times(turn(f"xor(h, {times(lane('o', 4), p1)})", 23), p2), big(p3))
-    one = times(turn(f"xor(h, {times(lane('o', 1), p5)})", 11), p1)
-    last = shift(times(shift(times(shift("h", 33), p2), 29), p3), 32)
+        joined = x.merged(joined, v)
+    eight, four, one, last = x.eight("h", lane("o", 8)), x.four("h", lane("o", 4)), x.one("h", lane("o", 1)), x.last("h")
     words = r"[^\x20\x09-\x0D]+"
     return f"""
     WITH RECURSIVE t AS MATERIALIZED (
@@ -188,4 +247,4 @@ CONTAMINATION = f"""
     SELECT doc_id, item_id, round(alike, 6) AS similarity, s AS start_word FROM f JOIN d USING (r) JOIN i USING (b)
 """
 
-ORACLE_SQL = {"op1_url_templates": url_templates(), "op4_warc_revisits": WARC, "op6_pigeonring_simhash": simhash_components(), "op7_decontamination": CONTAMINATION, "op8_disclosure_pii": disclosure(), "op9_bwt_repeats": REPEATS}
+ORACLE_SQL = {"op1_url_templates": url_templates(), "op2_jump_shards": jump_shards(), "op4_warc_revisits": WARC, "op6_pigeonring_simhash": simhash_components(), "op7_decontamination": CONTAMINATION, "op8_disclosure_pii": disclosure(), "op9_bwt_repeats": REPEATS}
